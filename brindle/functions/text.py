@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The characters that count as white space, inside a regex class.
-WS = r"\s\x1c-\x1f\x85   -     　"
+WS = r"\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def strip(c: Column | str) -> Column:
