@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.conversations import judge_conversations, links_in_metadata, rebuild_conversations
 from brindle.llm.mixing import mix_report, mix_sources
+from brindle.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from brindle.llm.splitting import split_oversized
 from brindle.llm.tokenize import encode_corpus
 from brindle.sources.tables import table
@@ -30,6 +31,20 @@ def p5_found(spark, d):
     return pieces.select(F.col("id").alias("chunk_id"), "piece_start", "piece_end")
 
 
+def _near(spark, d):
+    chunks = table(spark, d, "parsed_chunks").select(F.lit(1).alias("part"), F.col("chunk_id").alias("id"), "text")
+    vectors = table(spark, d, "vector_documents").select(F.lit(2).alias("part"), "id", "text")
+    return near_duplicates(chunks.union(vectors), "id", "text", "part", similarity="0.6", width=3, least_words=30)
+
+
+def p6_found(spark, d):
+    return duplicate_pairs(*_near(spark, d))
+
+
+def p6_groups(spark, d):
+    return duplicate_groups(*_near(spark, d))
+
+
 def p8_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -43,7 +58,7 @@ def p9_shares(spark, d):
     return mix_report(mix_sources(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p5_found, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p5_found, p6_found, p6_groups, p8_ids, p9_mix, p9_shares)}
 
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _TURNS = f"""
