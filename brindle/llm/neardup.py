@@ -56,7 +56,7 @@ class _Words(dict):
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], width: int, least_words: int):
-    """(id, key, sorted distinct shingle hashes) of each text with enough words; key: of the collection and all words."""
+    """(id, key, sorted distinct shingle hashes) of each text with enough words; hashes and key differ between collections."""
     known = _Words()
     for batch in batches:
         for part, key, text in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "text"))):
@@ -65,11 +65,11 @@ def _shingled(batches: Iterator[pa.RecordBatch], width: int, least_words: int):
                 continue
             h = np.array([known[w] for w in words], np.uint64)
             n = len(h) - width + 1
-            s = np.zeros(n, np.uint64)
+            s = np.full(n, part % (1 << 32), np.uint64)  # so that nothing is shared between collections
             with np.errstate(over="ignore"):
                 for k in range(width):
                     s = _mix(s + h[k : k + n] + _M3)
-            yield key, xxhash.xxh3_64_intdigest(h.tobytes(), seed=part), np.unique(s)
+            yield key, xxhash.xxh3_64_intdigest(h.tobytes(), seed=part % (1 << 32)), np.unique(s)
 
 
 def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,16 +105,13 @@ def _merge_blocks(blocks: DataFrame, bits: int) -> np.ndarray:
     def add(keys, pdf):
         import pandas as pd
 
-        total = np.zeros(BLOCK, np.int64)
-        for data in pdf["data"]:
-            total += np.frombuffer(data, np.uint16)[:BLOCK]
+        total = np.sum([np.frombuffer(data, np.uint16) for data in pdf["data"]], axis=0, dtype=np.int64)
         code = np.where(total < 2, total, np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))))
         return pd.DataFrame({"block": [keys[0]], "data": [code.astype(np.uint8).tobytes()]})
 
     out = np.zeros(2 << bits, np.uint8)
     for r in blocks.groupBy("block").applyInPandas(add, "block int, data binary").toLocalIterator():
-        piece = np.frombuffer(r.data, np.uint8)[: len(out)]
-        out[r.block * BLOCK : r.block * BLOCK + len(piece)] = piece[: len(out) - r.block * BLOCK]
+        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.data, np.uint8)
     return out.reshape(2, 1 << bits)
 
 
@@ -160,7 +157,7 @@ def near_duplicates(
     if not 0 < t <= 1:
         raise ValueError("similarity must be in (0, 1]")
     context = df.sparkSession.sparkContext
-    part = F.col(part_col).cast("int") if part_col else F.lit(0)
+    part = F.coalesce(F.col(part_col).cast("int"), F.lit(0)) if part_col else F.lit(0)
     rows = df.select(part.alias("part"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     # a text of n words has at least 2 n - 1 characters
     rows = rows.filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
