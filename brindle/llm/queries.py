@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 from brindle.llm.conversations import judge_conversations, links_in_metadata, rebuild_conversations
 from brindle.llm.mixing import mix_report, mix_sources
 from brindle.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
+from brindle.llm.similar import most_similar
 from brindle.llm.splitting import split_oversized
 from brindle.llm.tokenize import encode_corpus
 from brindle.sources.tables import table
 
 
+def p1_neighbours(spark, d):
+    return most_similar(table(spark, d, "vector_documents"), "id", "embedding", least_score=0.85)
+
+
+def p1_found(spark, d):
+    near = p1_neighbours(spark, d)
+    return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
+
+
 def p2_found(spark, d):
     messages = table(spark, d, "messages")
     known = table(spark, d, "sessions").select("id").union(table(spark, d, "chat_requests").select("session_id"))
@@ -58,7 +68,7 @@ def p9_shares(spark, d):
     return mix_report(mix_sources(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p5_found, p6_found, p6_groups, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_turns, p5_found, p6_found, p6_groups, p8_ids, p9_mix, p9_shares)}
 
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _TURNS = f"""
