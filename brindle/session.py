@@ -21,6 +21,7 @@ def build_session(master: str = "local[8]", app: str = "brindle", shuffle_partit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BRINDLE_DRIVER_MEMORY", "8g"))
     )
     for k, v in conf.items():
