@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.llm.boilerplate import furniture_lines, main_text
 from brindle.llm.conversations import judge_conversations, links_in_metadata, rebuild_conversations
 from brindle.llm.mixing import mix_report, mix_sources
 from brindle.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
@@ -36,6 +37,14 @@ def p2_turns(spark, d):
     return turns.select(F.col("conversation_id").alias("session_id"), F.col("turn").cast("bigint").alias("turn"), "role", "content")
 
 
+def p4_found(spark, d):
+    return furniture_lines(table(spark, d, "parsed_chunks"))
+
+
+def p4_main(spark, d):
+    return main_text(table(spark, d, "parsed_chunks"))
+
+
 def p5_found(spark, d):
     pieces = split_oversized(table(spark, d, "parsed_chunks"), "chunk_id", "text", with_text=False)
     return pieces.select(F.col("id").alias("chunk_id"), "piece_start", "piece_end")
@@ -68,7 +77,7 @@ def p9_shares(spark, d):
     return mix_report(mix_sources(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_turns, p5_found, p6_found, p6_groups, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_turns, p4_found, p4_main, p5_found, p6_found, p6_groups, p8_ids, p9_mix, p9_shares)}
 
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _TURNS = f"""
