@@ -8,6 +8,7 @@ from brindle.llm.boilerplate import furniture_lines, main_text
 from brindle.llm.conversations import judge_conversations, links_in_metadata, rebuild_conversations
 from brindle.llm.mixing import mix_report, mix_sources
 from brindle.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
+from brindle.llm.pii import find_personal_data, fit_finder, redact
 from brindle.llm.similar import most_similar
 from brindle.llm.splitting import split_oversized
 from brindle.llm.tokenize import encode_corpus
@@ -64,6 +65,22 @@ def p6_groups(spark, d):
     return duplicate_groups(*_near(spark, d))
 
 
+def _texts_of_people(spark, d):
+    messages = table(spark, d, "messages").select(F.col("id").alias("record_id"), F.col("content").alias("text"))
+    return messages.union(table(spark, d, "chat_requests").select("request_id", "message"))
+
+
+def p7_found(spark, d):
+    texts = _texts_of_people(spark, d)
+    lexicon, model = fit_finder(texts.select("text"), table(spark, d, "known_names"))
+    return find_personal_data(texts, "record_id", "text", lexicon, model).withColumnRenamed("id", "record_id")
+
+
+def p7_redacted(spark, d):
+    texts = _texts_of_people(spark, d)
+    return redact(texts.distinct(), "text", *fit_finder(texts.select("text"), table(spark, d, "known_names")))
+
+
 def p8_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -77,7 +94,7 @@ def p9_shares(spark, d):
     return mix_report(mix_sources(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_turns, p4_found, p4_main, p5_found, p6_found, p6_groups, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_turns, p4_found, p4_main, p5_found, p6_found, p6_groups, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares)}
 
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _TURNS = f"""
