@@ -25,9 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import strip
+from brindle.session import cut_lineage
 
 #: Elements of a page that are read together; more of them are read as several pages.
 SECTION = 5_000
+#: Winning paths (8 bytes each) that are broadcast at most; more of them are joined by a shuffle.
+MOST_SENT = 100_000
 _MENU = re.compile(r"(?:[^|·/>»•]{1,40}(?: [|·/>»] |\s{2,})){2,}[^|·/>»•]{1,40}$")
 _RIGHTS = re.compile(r"©|copyright (?:©|\(c\)|\d)", re.I)
 _TRAIL = re.compile(r"^(?:/ |.{1,30} [»>/] )")
@@ -43,7 +46,7 @@ def generalised(line: Column, site: Column) -> Column:
 
 
 def page_lines(chunks: DataFrame) -> DataFrame:
-    """The non-blank lines of rows whose metadata has ``parser = html``, with host, generalised text and opening."""
+    """The non-blank lines of rows whose metadata has ``parser = html``, with hashes of host, path, opening and page."""
     meta = lambda k: F.col("metadata")[k]
     rows = chunks.filter((meta("parser") == "html") & F.col("text").isNotNull()).select(
         "chunk_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("ordinal", F.lit(0)).alias("ordinal"),
@@ -55,28 +58,41 @@ def page_lines(chunks: DataFrame) -> DataFrame:
     labels = F.split(host, r"\.")
     site = F.regexp_extract(F.element_at(labels, F.greatest(F.size(labels) - 1, F.lit(1))), "^([a-z]+)", 1)
     text = generalised(F.col("line"), site)
-    start = F.when(F.split(text, " ")[0].endswith(":"), F.split(text, " ")[0]).otherwise(F.substring_index(text, " ", 2))
-    return rows.withColumn("host", host).withColumn("path", text).withColumn("opening", start)
+    rows = rows.withColumn("path", text)
+    start = F.when(F.split("path", " ")[0].endswith(":"), F.split("path", " ")[0]).otherwise(F.substring_index("path", " ", 2))
+    short = ~F.col("path").rlike(r"[.!?。！？:]$") & (F.size(F.split("path", " ")) <= 14)
+    ids = [F.xxhash64(host).alias("host_id"), F.xxhash64(host, F.col("path")).alias("local_id"), F.xxhash64("path").alias("path_id"), F.xxhash64(start).alias("opening_id")]
+    return rows.select(*[c for c in rows.columns if c != "path"], *ids, F.xxhash64("source").alias("page_id"), short.alias("short"))
 
 
 def vote(lines: DataFrame, share: float = 0.2, least_pages: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(host, path)`` that win on their host, ``path`` that win everywhere, ``opening`` of varying short furniture."""
-    on = lines.groupBy("host", "path", "source").agg(F.lit(1).alias("one")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
-    whole = lines.groupBy("host", "source").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
-    rated = on.filter(F.col("pages") > 0).join(whole, "host").withColumn("wins", (F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("all_pages")))
-    local = rated.filter("wins").select("host", "path")
-    everywhere = rated.groupBy("path").agg(F.sum(F.when(F.col("wins"), F.col("pages")).otherwise(0)).alias("won"), F.sum("pages").alias("pages"))
-    everywhere = everywhere.filter("2 * won >= pages").select("path")
+    """``local_id`` of paths that win on their host, ``path_id`` of those that win everywhere, ``opening_id`` of varying furniture.
+
+    Only hashes are counted and sent: a row per host, path and page at most.
+    """
+    on = lines.groupBy("host_id", "local_id", "path_id", "page_id").agg(F.lit(1).alias("one")).groupBy("host_id", "local_id", "path_id").agg(F.count(F.lit(1)).alias("pages"))
+    whole = lines.groupBy("host_id", "page_id").agg(F.lit(1).alias("one")).groupBy("host_id").agg(F.count(F.lit(1)).alias("all_pages"))
+    rated = cut_lineage(on.join(whole, "host_id").withColumn("wins", (F.col("pages") >= least_pages) & (F.col("pages") >= share * F.col("all_pages"))).select("local_id", "path_id", "pages", "wins"))
+    local = rated.filter("wins").select("local_id")
+    everywhere = rated.groupBy("path_id").agg(F.sum(F.when(F.col("wins"), F.col("pages")).otherwise(0)).alias("won"), F.sum("pages").alias("pages"))
+    everywhere = everywhere.filter("2 * won >= pages").select("path_id")
     typed = lines.filter(F.col("kind").isin("title", "heading", "paragraph"))
-    short = (F.col("kind") == "paragraph") & ~F.col("path").rlike(r"[.!?。！？:]$") & (F.size(F.split("path", " ")) <= 14)
-    opened = typed.groupBy("opening").agg(
-        F.count_if(F.col("kind") != "paragraph").alias("titles"), F.count_if(short).alias("short"), F.count_if(F.col("kind") == "paragraph").alias("rows"),
-        F.approx_count_distinct(F.when(short, F.col("path"))).alias("forms"),
+    paragraph = F.col("kind") == "paragraph"
+    opened = typed.groupBy("opening_id").agg(
+        F.count_if(~paragraph).alias("titles"), F.count_if(paragraph & F.col("short")).alias("shorts"), F.count_if(paragraph).alias("rows"),
+        F.approx_count_distinct(F.when(paragraph & F.col("short"), F.col("path_id"))).alias("forms"),
     )
-    openings = opened.filter("short >= 4 and forms >= 3 and short >= 0.8 * rows and titles <= 0.02 * short").select("opening")
+    openings = opened.filter("shorts >= 4 and forms >= 3 and shorts >= 0.8 * rows and titles <= 0.02 * shorts").select("opening_id")
     return local, everywhere, openings
 
 
+def _marked(lines: DataFrame, winners: DataFrame, key: str, name: str) -> DataFrame:
+    """``lines`` with ``name`` true where ``key`` wins; winners are sent to all only if they are few."""
+    winners = cut_lineage(winners.distinct())
+    few = len(winners.limit(MOST_SENT + 1).select(F.lit(1)).collect()) <= MOST_SENT
+    return lines.join((F.broadcast(winners) if few else winners).withColumn(name, F.lit(True)), key, "left")
+
+
 def _is_sentence(s: str) -> bool:
     return s.endswith(_SENTENCE_END) and (not s.endswith(":") or " " in s)
 
@@ -139,11 +155,9 @@ def furniture_lines(chunks: DataFrame, share: float = 0.2, least_pages: int = 3)
     """
     lines = page_lines(chunks)
     local, everywhere, openings = vote(lines, share, least_pages)
-    known = lines.join(local.withColumn("here", F.lit(True)), ["host", "path"], "left")
-    known = known.join(everywhere.withColumn("anywhere", F.lit(True)), "path", "left").join(openings.withColumn("opens", F.lit(True)), "opening", "left")
-    varies = F.col("opens").isNotNull() & ~F.col("path").rlike(r"[.!?。！？:]$") & (F.size(F.split("path", " ")) <= 14)
+    known = _marked(_marked(_marked(lines, local, "local_id", "here"), everywhere, "path_id", "anywhere"), openings, "opening_id", "opens")
     titled = F.coalesce(F.col("kind") == "title", F.lit(False))
-    furniture = ~titled & (F.col("here").isNotNull() | F.col("anywhere").isNotNull() | varies)
+    furniture = ~titled & (F.col("here").isNotNull() | F.col("anywhere").isNotNull() | (F.col("opens").isNotNull() & F.col("short")))
     section = F.expr(f"ordinal div {SECTION}").alias("section")
     laid = known.select("source", section, "ordinal", "chunk_id", "line_no", "line", "kind", "level", "href", furniture.alias("furniture"))
     laid = laid.repartition("source", "section").sortWithinPartitions("source", "section", "ordinal", "chunk_id", "line_no")
