@@ -20,6 +20,7 @@ that occur in one set only are left out of the lists, as they can't be shared.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import connected_components
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, release_shuffles
 
 WORD = re.compile(r"[^\W_]+")
 #: Counters of the sketch: two rows of 2**BITS; their size, one byte each when broadcast, doesn't grow with the data.
@@ -55,21 +56,55 @@ class _Words(dict):
         return h
 
 
-def _shingled(batches: Iterator[pa.RecordBatch], width: int, least_words: int):
-    """(id, key, sorted distinct shingle hashes) of each text with enough words; hashes and key differ between collections."""
-    known = _Words()
-    for batch in batches:
-        for part, key, text in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "text"))):
-            words = WORD.findall(text.lower())
-            if len(words) < least_words:
-                continue
-            h = np.array([known[w] for w in words], np.uint64)
-            n = len(h) - width + 1
-            s = np.full(n, part % (1 << 32), np.uint64)  # so that nothing is shared between collections
-            with np.errstate(over="ignore"):
-                for k in range(width):
-                    s = _mix(s + h[k : k + n] + _M3)
-            yield key, xxhash.xxh3_64_intdigest(h.tobytes(), seed=part % (1 << 32)), np.unique(s)
+class _Reader:
+    """Reads batches of texts into arrays of shingle hashes, a whole batch at a time."""
+
+    def __init__(self, width: int, least_words: int):
+        self.width, self.least, self.known = width, least_words, _Words()
+        self.seen: set[int] = set()
+
+    def words(self, batches: Iterator[pa.RecordBatch], most_words: int = 500_000):
+        """(ids, keys, parts, lengths, word hashes) of the texts with enough words, in blocks of about ``most_words``."""
+        ids, keys, parts, lengths, hashes, held = [], [], [], [], [], 0
+        for batch in batches:
+            for part, key, text in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "text"))):
+                words = WORD.findall(text.lower())
+                if len(words) < self.least:
+                    continue
+                h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+                ids.append(key)
+                keys.append(xxhash.xxh3_64_intdigest(h.data, seed=part % (1 << 32)))
+                parts.append(part % (1 << 32))
+                lengths.append(len(h))
+                hashes.append(h)
+                held += len(h)
+                if held > most_words:
+                    yield ids, keys, parts, lengths, hashes
+                    ids, keys, parts, lengths, hashes, held = [], [], [], [], [], 0
+        if ids:
+            yield ids, keys, parts, lengths, hashes
+
+    def new(self, keys: list[int]) -> list[int]:
+        """Places of the keys that this task hasn't met (as far as it remembers)."""
+        out = []
+        for n, k in enumerate(keys):
+            if k not in self.seen:
+                if len(self.seen) < 200_000:
+                    self.seen.add(k)
+                out.append(n)
+        return out
+
+    def shingles(self, parts: list[int], lengths: list[int], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the text, hash) of each shingle, in order of the texts, with repeats."""
+        h, n = np.concatenate(hashes), np.array(lengths)
+        text = np.repeat(np.arange(len(n)), n)
+        left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # words from here to the end of the text
+        at = np.flatnonzero(left >= self.width)
+        s = np.array(parts, np.uint64)[text[at]]  # so that nothing is shared between collections
+        with np.errstate(over="ignore"):
+            for k in range(self.width):
+                s = _mix(s + h[at + k] + _M3)
+        return text[at], s
 
 
 def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +131,7 @@ class _Counter:
         flat = self.rows.reshape(-1)
         for no, start in enumerate(range(0, len(flat), BLOCK)):
             if flat[start : start + BLOCK].any():
-                yield no, flat[start : start + BLOCK].tobytes()
+                yield no, zlib.compress(flat[start : start + BLOCK].tobytes(), 1)
 
 
 def _merge_blocks(blocks: DataFrame, bits: int) -> np.ndarray:
@@ -105,7 +140,7 @@ def _merge_blocks(blocks: DataFrame, bits: int) -> np.ndarray:
     def add(keys, pdf):
         import pandas as pd
 
-        total = np.sum([np.frombuffer(data, np.uint16) for data in pdf["data"]], axis=0, dtype=np.int64)
+        total = np.sum([np.frombuffer(zlib.decompress(data), np.uint16) for data in pdf["data"]], axis=0, dtype=np.int64)
         code = np.where(total < 2, total, np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))))
         return pd.DataFrame({"block": [keys[0]], "data": [code.astype(np.uint8).tobytes()]})
 
@@ -135,10 +170,27 @@ def choose_boundary(codes_of_lists: float, t: Fraction, row_cost: float = 12.0)
     return size
 
 
-def _bitmaps(s: np.ndarray) -> tuple[int, int]:
-    """Parity of how many shingles fall on each of 128 bits, as two 64-bit numbers."""
-    odd = np.bincount((s >> np.uint64(20) & np.uint64(127)).astype(np.int64), minlength=128) & 1
-    return tuple(int(x) for x in np.packbits(odd.astype(np.uint8)).view(np.int64))
+def _bitmaps(text: np.ndarray, s: np.ndarray, n: int, width: int = 256) -> np.ndarray:
+    """Per text, the parity of how many of its distinct shingles fall on each of ``width`` bits, as 64-bit numbers."""
+    at = text * width + (s >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n * width) & 1).astype(np.uint8)).view(np.int64).reshape(n, width // 64)
+
+
+def _candidate_pairs(postings: DataFrame, t: Fraction) -> DataFrame:
+    """Scans the inverted lists; ``key_a, key_b`` of the pairs that the filters on size, position and bitmap leave."""
+    postings = postings.repartition("h").dropDuplicates(["h", "key"])
+    side = lambda x: postings.select(F.col("h"), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "place", "b1", "b2", "b3", "b4")])
+    num, den = t.numerator, t.denominator
+    size = lambda x: f"shiftright(place_{x}, 32)"
+    rest = lambda x: f"({size(x)} - (shiftright(place_{x}, 2) & 268435455))"
+    needed = f"({num} * ({size('a')} + {size('b')}))"
+    pairs = side("a").join(side("b"), "h").filter("key_a < key_b").filter(
+        f"(place_a & 3 = 2) = (place_b & 3 = 2) and (place_a | place_b) & 3 <> 0"
+        f" and {num} * {size('a')} <= {den} * {size('b')} and {num} * {size('b')} <= {den} * {size('a')}"
+        f" and (place_a & 3 = 2 or {num + den} * least({rest('a')}, {rest('b')}) >= {needed})"
+        f" and {num + den} * ({size('a')} + {size('b')} - {' - '.join(f'bit_count(b{x}_a ^ b{x}_b)' for x in (1, 2, 3, 4))}) >= 2 * {needed}"
+    )
+    return cut_lineage(pairs.select("key_a", "key_b").distinct())
 
 
 def near_duplicates(
@@ -164,25 +216,15 @@ def near_duplicates(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.schema([("block", pa.int32()), ("data", pa.binary()), ("key", pa.int64()), ("id", pa.string())])
-        sketch, keys, ids, waiting = _Counter(bits), [], [], []
-        seen: set[int] = set()
-        for key, mark, s in _shingled(batches, width, least_words):
-            keys.append(mark)
-            ids.append(key)
-            if mark not in seen:
-                if len(seen) < 200_000:
-                    seen.add(mark)
-                waiting.append(s)
-            if len(keys) >= 8192:
-                if waiting:
-                    sketch.add(np.concatenate(waiting))
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(_as_long(np.array(keys, np.uint64))), pa.array(ids)], schema=shape)
-                keys, ids, waiting = [], [], []
-        if waiting:
-            sketch.add(np.concatenate(waiting))
-        n = len(keys)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(_as_long(np.array(keys, np.uint64))), pa.array(ids, pa.string())], schema=shape)
+        sketch, reader = _Counter(bits), _Reader(width, least_words)
+        for ids, keys, parts, lengths, hashes in reader.words(batches):
+            if new := reader.new(keys):
+                text, h = reader.shingles(*([x[k] for k in new] for x in (parts, lengths, hashes)))
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                sketch.add(h[np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])])
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(_as_long(np.array(keys, np.uint64))), pa.array(ids, pa.string())], schema=shape)
         for no, data in sketch.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([data]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string())], schema=shape)
 
@@ -197,56 +239,43 @@ def near_duplicates(
     sent = context.broadcast(table)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "key", "place", "b1", "b2"]
-        codes, seen, out, held = sent.value, set(), [[] for _ in names], 0
-        for _, mark, s in _shingled(batches, width, least_words):
-            if mark in seen:
+        names = ["h", "key", "place", "b1", "b2", "b3", "b4"]
+        codes, reader = sent.value, _Reader(width, least_words)
+        for _, keys, parts, lengths, hashes in reader.words(batches):
+            new = reader.new(keys)
+            if not new:
                 continue
-            if len(seen) < 200_000:
-                seen.add(mark)
-            n = len(s)
-            code = _codes(codes, s, bits)
-            order = np.lexsort((s, code))
-            p = _prefix_length(n, t)
-            light = n <= boundary
-            head = order[: p + 1] if light else order[:p]
-            at = np.flatnonzero(code[head] > 1)  # a count of one: no other set has it
-            found = []
-            if light and len(at) > 1:
-                a, b = np.triu_indices(len(at), 1)
-                with np.errstate(over="ignore"):
-                    found.append((_mix(_mix(s[head[at[a]]]) + s[head[at[b]]]), at[a], 2))
-            if not light or n >= boundary * t:
-                keep = at[at < p]
-                found.append((s[head[keep]], keep, 0 if light else 1))
-            b1, b2 = _bitmaps(s)
-            for h, place, kind in found:
-                m = len(h)
-                # size, then position, then kind (0 light, 1 heavy, 2 pair of a light set) in one number
-                packed = (np.int64(min(n, 1 << 30)) << np.int64(32)) | (np.minimum(place, (1 << 28) - 1).astype(np.int64) << np.int64(2)) | np.int64(kind)
-                for column, x in zip(out, (_as_long(h), np.full(m, mark, np.uint64).view(np.int64), packed, np.full(m, b1), np.full(m, b2))):
-                    column.append(x)
-                held += m
-            if held > 60_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
-                out, held = [[] for _ in names], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
-
-    postings = rows.mapInArrow(lists, "h long, key long, place long, b1 long, b2 long")
-    postings = postings.repartition("h").dropDuplicates(["h", "key"])
-    side = lambda x: postings.select(F.col("h"), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "place", "b1", "b2")])
-    num, den = t.numerator, t.denominator
-    size = lambda x: f"shiftright(place_{x}, 32)"
-    rest = lambda x: f"({size(x)} - (shiftright(place_{x}, 2) & 268435455))"
-    needed = f"({num} * ({size('a')} + {size('b')}))"
-    pairs = side("a").join(side("b"), "h").filter("key_a < key_b").filter(
-        f"(place_a & 3 = 2) = (place_b & 3 = 2) and (place_a | place_b) & 3 <> 0"
-        f" and {num} * {size('a')} <= {den} * {size('b')} and {num} * {size('b')} <= {den} * {size('a')}"
-        f" and (place_a & 3 = 2 or {num + den} * least({rest('a')}, {rest('b')}) >= {needed})"
-        f" and {num + den} * ({size('a')} + {size('b')} - bit_count(b1_a ^ b1_b) - bit_count(b2_a ^ b2_b)) >= 2 * {needed}"
-    )
-    pairs = cut_lineage(pairs.select("key_a", "key_b").distinct())
+            text, h = reader.shingles(*([x[k] for k in new] for x in (parts, lengths, hashes)))
+            code = _codes(codes, h, bits)
+            order = np.lexsort((h, text * 256 + code))  # the global order: by count, then by hash
+            text, h, code = text[order], h[order], code[order]
+            once = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])
+            text, h, code = text[once], h[once], code[once]
+            size = np.bincount(text, minlength=len(new))
+            place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+            p = size - -(-(size * t.numerator) // t.denominator) + 1
+            light = size <= boundary
+            shared = code > 1  # a count of one: no other set has it
+            single = shared & (place < p[text]) & (~light | (size * t.denominator >= boundary * t.numerator))[text]
+            rows_text, rows_h, rows_place, rows_kind = [text[single]], [h[single]], [place[single]], [np.where(light, 0, 1)[text[single]]]
+            if light.any():
+                at = np.flatnonzero(shared & light[text] & (place < p[text] + 1))
+                for group in np.split(at, np.flatnonzero(np.diff(text[at])) + 1):
+                    a, b = np.triu_indices(len(group), 1)
+                    if len(a):
+                        with np.errstate(over="ignore"):
+                            rows_h.append(_mix(_mix(h[group[a]]) + h[group[b]]))
+                        rows_text.append(text[group[a]])
+                        rows_place.append(place[group[a]])
+                        rows_kind.append(np.full(len(a), 2))
+            who, hash_, at_, kind = (np.concatenate(x) for x in (rows_text, rows_h, rows_place, rows_kind))
+            # size, then position, then kind (0 light, 1 heavy, 2 pair of a light set) in one number
+            packed = (np.minimum(size[who], 1 << 30).astype(np.int64) << np.int64(32)) | (np.minimum(at_, (1 << 28) - 1).astype(np.int64) << np.int64(2)) | kind.astype(np.int64)
+            marks, maps = _as_long(np.array([keys[k] for k in new], np.uint64)), _bitmaps(text, h, len(new))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_as_long(hash_), marks[who], packed, *maps[who].T)], names=names)
+
+    pairs = _candidate_pairs(rows.mapInArrow(lists, "h long, key long, place long, b1 long, b2 long, b3 long, b4 long"), t)
+    release_shuffles(df.sparkSession)
 
     def mark_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = _Counter(bits)
@@ -259,23 +288,38 @@ def near_duplicates(
     wanted = context.broadcast(_merge_blocks(keys.mapInArrow(mark_keys, "block int, data binary"), bits) > 0)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The full sets of the classes that are candidates (and of a few that only look like it)."""
-        marks, data, seen, size = [], [], set(), 0
-        for _, mark, s in _shingled(batches, width, least_words):
-            if mark in seen or not _codes(wanted.value, _mix(np.array([mark], np.uint64)), bits)[0]:
-                continue
-            if len(seen) < 200_000:
-                seen.add(mark)
-            marks.append(mark)
-            data.append(s.tobytes())
-            size += len(s)
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(_as_long(np.array(marks, np.uint64))), pa.array(data)], names=["key", "s"])
-                marks, data, size = [], [], 0
-        if marks:
-            yield pa.RecordBatch.from_arrays([pa.array(_as_long(np.array(marks, np.uint64))), pa.array(data)], names=["key", "s"])
-
-    full = rows.mapInArrow(sets, "key long, s binary").repartition("key").dropDuplicates(["key"])
+        """Size, wide bitmap and full set of the classes that are candidates (and of a few that only look like it)."""
+        reader = _Reader(width, least_words)
+        for _, keys, parts, lengths, hashes in reader.words(batches):
+            asked = _codes(wanted.value, _mix(np.array(keys, np.uint64)), bits)
+            at = [k for k in reader.new(keys) if asked[k]]
+            if at:
+                text, h = reader.shingles(*([x[k] for k in at] for x in (parts, lengths, hashes)))
+                ends = np.searchsorted(text, np.arange(1, len(at)))
+                found = [np.unique(x) for x in np.split(h, ends)]
+                maps = [_bitmaps(np.zeros(len(x), np.int64), x, 1, 1024).tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_as_long(np.array([keys[k] for k in at], np.uint64))), pa.array([len(x) for x in found], pa.int32()), pa.array(maps), pa.array([x.tobytes() for x in found])],
+                    names=["key", "n", "map", "s"],
+                )
+
+    full = cut_lineage(rows.mapInArrow(sets, "key long, n int, map binary, s binary").repartition("key").dropDuplicates(["key"]))
+    release_shuffles(df.sparkSession)
+    maps = lambda x: full.select(F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"m_{x}"))
+    mapped = pairs.join(maps("a"), "key_a").join(maps("b"), "key_b").select("key_a", "key_b", "n_a", "n_b", "m_a", "m_b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same bound as by the bitmaps in the lists, on wider ones: shared <= (n_a + n_b - distance) / 2."""
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("m_a", "m_b"))
+            n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            apart = np.bitwise_count(a ^ b).sum(1).astype(np.int64)
+            keep = pa.array((t.numerator + t.denominator) * (n - apart) >= 2 * t.numerator * n)
+            yield pa.RecordBatch.from_arrays([batch.column("key_a").filter(keep), batch.column("key_b").filter(keep)], names=["key_a", "key_b"])
+
+    pairs = cut_lineage(mapped.mapInArrow(near, "key_a long, key_b long"))
+    del mapped
+    release_shuffles(df.sparkSession)
     both = pairs.join(full.select(F.col("key").alias("key_a"), F.col("s").alias("s_a")), "key_a").join(full.select(F.col("key").alias("key_b"), F.col("s").alias("s_b")), "key_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +332,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([batch.column("key_a"), batch.column("key_b"), pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], names=["key_a", "key_b", "n_shared", "n_all"])
 
     links = both.select("key_a", "key_b", "s_a", "s_b").mapInArrow(compare, "key_a long, key_b long, n_shared long, n_all long")
-    return members, links.filter(f"{den} * n_shared >= {num} * n_all")
+    return members, links.filter(f"{t.denominator} * n_shared >= {t.numerator} * n_all")
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
