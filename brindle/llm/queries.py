@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.llm.abuse import fit_from_tables, rates_by_source, score_documents
 from brindle.llm.boilerplate import furniture_lines, main_text
 from brindle.llm.conversations import judge_conversations, links_in_metadata, rebuild_conversations
 from brindle.llm.mixing import mix_report, mix_sources
@@ -94,7 +95,28 @@ def p9_shares(spark, d):
     return mix_report(mix_sources(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_turns, p4_found, p4_main, p5_found, p6_found, p6_groups, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares)}
+def _severity(spark, d):
+    documents = table(spark, d, "documents")
+    return documents, score_documents(documents, *fit_from_tables(documents, table(spark, d, "content_labels"), table(spark, d, "content_terms")))
+
+
+#: A document counts for a category from this probability of the highest grade on.
+CONTENT_FROM = 0.5
+
+
+def p10_found(spark, d):
+    return _severity(spark, d)[1].filter(F.col("p_content") >= CONTENT_FROM).select("doc_id", "category")
+
+
+def p10_scores(spark, d):
+    return _severity(spark, d)[1].select("doc_id", "category", F.round("severity", 6).alias("severity"))
+
+
+def p10_rates(spark, d):
+    return rates_by_source(*_severity(spark, d), CONTENT_FROM)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_turns, p4_found, p4_main, p5_found, p6_found, p6_groups, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _WS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _TURNS = f"""
