@@ -1,9 +1,27 @@
-"""All queries of the core, and their SQL."""
+"""All queries of the core, their SQL, and the flagship query."""
 
 from __future__ import annotations
 
-from brindle.plans import sessions
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_PARTS = [sessions]
-QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+from brindle.operators.chunking import fixed_size_chunks
+from brindle.operators.rag import context, embed
+from brindle.operators.vectors import nearest
+from brindle.plans import logs, sessions, stores, texts
+from brindle.sources.tables import table
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut into chunks and embedded; for every user's question with an id in a fixed set, the context of its five nearest chunks."""
+    chunks = fixed_size_chunks(table(spark, d, "documents"), "doc_id", "text").select(F.concat_ws("_", "id", "chunk_id").alias("vec_id"), "text")
+    asked = table(spark, d, "chat_requests").filter("message <> ''").dropDuplicates(["request_id"])
+    asked = asked.filter(F.pmod(F.xxhash64("request_id"), F.lit(100)) == 0).select(F.col("request_id").alias("vec_id"), F.col("message").alias("text"))
+    hits = nearest(embed(chunks, "text"), embed(asked, "text"), 5)
+    ranked = hits.join(chunks.select(F.col("vec_id").alias("id"), "text"), "id").select("query_id", "rank", "text")
+    return context(ranked, "query_id")
+
+
+_PARTS = [texts, stores, logs, sessions]
+QUERIES = {"flagship": flagship} | {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
