@@ -74,7 +74,7 @@ def test_disguises():
 def test_ordinal_orders_grades():
     rows, grade = [[1], [2], [3], [1, 2]] * 30, np.array([0, 1, 2, 1] * 30)
     p = Ordinal().fit(rows, grade, np.ones(len(rows)), rounds=500).at_least([[1], [2], [3]])
-    assert (np.diff(p.sum(1)) > 0).all() and p[0, 0] < 0.5 < p[2, 1] and p[1, 1] < 0.5 < p[1, 0]
+    assert (np.diff(p, axis=0) > 0).all() and p[0, 1] < 0.1 and p[1, 1] < 0.5 < p[1, 0] and p[2, 1] > 0.9
 
 
 def test_nothing_labelled(spark):
