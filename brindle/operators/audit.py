@@ -39,11 +39,11 @@ def matching(
     if text is not None:
         hit = F.lit(False)
         for c in ("description", "action", "event_type"):
-            hit = hit | F.coalesce(F.contains(F.lower(c), F.lower(F.lit(text))), F.lit(False))
+            hit = hit | F.contains(F.lower(c), F.lower(F.lit(text)))
         whole = whole & hit
     if tags is not None:
         whole = whole & F.arrays_overlap("tags", F.array(*map(F.lit, tags)))
-    return F.coalesce(whole, F.lit(False))
+    return whole
 
 
 def sort_order(key: str = "timestamp", descending: bool = True) -> list[Column]:

@@ -20,7 +20,7 @@ METRICS = {"cosine": "cosine", "l2": "l2", "euclidean": "l2", "ip": "ip", "dot":
 
 
 def metadata_filter(where: dict | None, lookup=F.col) -> Column:
-    """A filter dictionary as a predicate. A missing or null field matches nothing, whatever the operator.
+    """A filter dictionary as a predicate for ``filter``. A missing or null field matches nothing, whatever the operator.
 
     ``{"a": 1, "b": {"$gte": 2}}`` means both; operators are $eq $ne $gt $gte $lt $lte $in $nin, and $and / $or over
     lists of filters. Plain columns stay visible to the scan, so that the predicate is pushed down.
@@ -45,7 +45,7 @@ def metadata_filter(where: dict | None, lookup=F.col) -> Column:
                     raise ValueError(f"unknown operator {op}")
                 one = one & compare[op](lookup(key), v)
         whole = whole & one
-    return F.coalesce(whole, F.lit(False))
+    return whole
 
 
 def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,5 +50,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of stages that nothing refers to any more, now instead of at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the JVM a little later
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()

@@ -16,14 +16,14 @@ from brindle.functions.files import extension
 from brindle.functions.text import strip
 from brindle.sources.html import page_rows
 
-ENCODINGS = ("utf-8", "utf-16", "latin-1")
+ENCODINGS = ("utf-8", "latin-1")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SPANS = "path string, ordinal int, type string, level int, href string, text string, span_start long, span_end long"
 
 
 def decode(content: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
-    """The text in the first encoding that reads it, with line ends as ``\\n``."""
-    for e in encodings:
+    """The text in the first encoding that reads it, with line ends as ``\\n``; UTF-16 by its byte order mark only."""
+    for e in ("utf-16",) * content.startswith((b"\xff\xfe", b"\xfe\xff")) + encodings:
         try:
             return content.decode(e).replace("\r\n", "\n").replace("\r", "\n")
         except UnicodeDecodeError:
@@ -98,7 +98,7 @@ def default_registry() -> Registry:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``path, content`` of files, folders read to any depth."""
+    """``path, content`` of files, folders read to any depth; Spark lists no files of zero length."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
