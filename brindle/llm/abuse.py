@@ -27,7 +27,7 @@ from brindle.llm.mixing import source_key
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: The fit looks at no more labelled and unlabelled documents than these.
-LABELLED, UNLABELLED = 20_000, 6_000
+LABELLED, UNLABELLED = 8_000, 4_000
 BITS = 18
 
 #: Letters of other scripts that look like Latin ones.
@@ -138,6 +138,11 @@ class Ordinal:
         z = np.bincount(np.repeat(np.arange(len(rows)), n), self.w[flat], len(rows))
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.b, -30, 30)))
 
+    def centre(self, cut: float) -> None:
+        """Moves the upper threshold so that a probability of ``cut`` becomes one half; the lower one stays below it."""
+        self.b[1] += np.log(cut / (1 - cut))
+        self.b[0] = min(self.b[0], self.b[1] - 0.1)
+
     def fit(self, rows: list[list[int]], grade: np.ndarray, weight: np.ndarray, least: int = 1, rounds: int = 60, rate: float = 0.3, penalty: float = 0.004) -> Ordinal:
         """Adaptive gradient steps on the weighted likelihood with a quadratic penalty.
 
@@ -146,8 +151,12 @@ class Ordinal:
         """
         n = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.fromiter((f for r in rows for f in r), np.int64, int(n.sum()))
-        used, flat = np.unique(flat, return_inverse=True)
         at = np.repeat(np.arange(len(rows)), n)
+        # what only sentences of grade 0 have could but lower scores that are low
+        told = np.zeros(1 << BITS, bool)
+        told[flat[grade[at] > 0]] = True
+        flat, at = flat[told[flat]], at[told[flat]]
+        used, flat = np.unique(flat, return_inverse=True)
         w, b = self.w[used].copy(), self.b.copy()
         g2, h2 = np.full(len(w), 1e-8), np.full(2, 1e-8)
         scale = weight.sum()
@@ -178,7 +187,16 @@ def _enriched(texts: list[set[int]], others: list[set[int]]) -> dict[int, float]
     return {f: np.log((n + 0.1) / na) - np.log((b[f] + 0.5) / nb) for f, n in a.items()}
 
 
-def fit_severity(labelled: list[tuple[str, str]], unlabelled: list[str], terms: list[tuple[str, str]], rounds: int = 5) -> tuple[Reader, dict[str, Ordinal]]:
+def _best_cut(positive: np.ndarray, clean: np.ndarray) -> float:
+    """Where labelled documents are told apart best (F1); the middle of equally good cuts."""
+    cuts = np.arange(0.25, 0.951, 0.01)
+    right, wrong = (np.array([(x >= c).sum() for c in cuts]) for x in (positive, clean))
+    score = 2 * right / np.maximum(1, right + wrong + len(positive))
+    best = cuts[score >= score.max() - 1e-9]
+    return float((best[0] + best[-1]) / 2)
+
+
+def fit_severity(labelled: list[tuple[str, str]], unlabelled: list[str], terms: list[tuple[str, str]], rounds: int = 4) -> tuple[Reader, dict[str, Ordinal]]:
     """Reader and one model per category from (text, category) rows, plain texts and (term, category) rows."""
     texts = [t for t, _ in labelled] + unlabelled
     raw = [set(_WORD.findall(plain_text(t))) for t in texts]
@@ -200,8 +218,9 @@ def fit_severity(labelled: list[tuple[str, str]], unlabelled: list[str], terms:
     truth = np.array([c for _, c in labelled] + ["?"] * len(unlabelled), object)
     models = {}
     for category in CATEGORIES:
-        senses = [re.compile(rf"\b{re.escape(plain_text(t))}") for t, c in terms if c == category and t]
-        mention = np.array([any(p.search(w) for p in senses) for w in words], np.int64)
+        senses = [rf"\b{re.escape(plain_text(t))}" for t, c in terms if c == category and t]
+        sense = re.compile("|".join(senses)) if senses else None
+        mention = np.array([sense is not None and sense.search(w) is not None for w in words], np.int64)
         positive = {k for k in range(len(labelled)) if truth[k] == category and len(spans[k])}
         if not positive:
             models[category] = Ordinal(bounds=(30.0, 31.0))
@@ -243,6 +262,9 @@ def fit_severity(labelled: list[tuple[str, str]], unlabelled: list[str], terms:
             # the sentence that a label means; none, if no sentence of the text supports it
             best = {k: int(spans[k][p[spans[k]].argmax()]) for k in positive}
             best = {k: n for k, n in best.items() if p[n] > 0.3}
+        if len(positive) >= 12:
+            whole = np.array([p[at].max() if len(at) else 0.0 for at in spans])
+            model.centre(_best_cut(whole[truth[: len(spans)] == category], whole[truth[: len(spans)] == "none"]))
         models[category] = model
     return reader, models
 
