@@ -37,6 +37,8 @@ WORD = re.compile(r"[^\W_]+")
 #: Counters of the sketch: two rows of 2**BITS; their size, one byte each when broadcast, doesn't grow with the data.
 BITS = 22
 BLOCK = 1 << 16
+#: Bytes of a shingle's hash that are sent for the final comparison: by chance alike once in 2**40 / (n * m).
+PACKED = 5
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -155,6 +157,17 @@ def _codes(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return np.minimum(table[0][a], table[1][b])
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The low bytes of the hashes: what is enough to tell the shingles of two texts apart."""
+    return s.view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // PACKED, 8), np.uint8)
+    out[:, :PACKED] = np.frombuffer(data, np.uint8).reshape(-1, PACKED)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _prefix_length(n: int, t: Fraction) -> int:
     return n - -(-(n * t.numerator) // t.denominator) + 1
 
@@ -176,6 +189,28 @@ def _bitmaps(text: np.ndarray, s: np.ndarray, n: int, width: int = 256) -> np.nd
     return np.packbits((np.bincount(at, minlength=n * width) & 1).astype(np.uint8)).view(np.int64).reshape(n, width // 64)
 
 
+def _map_width(n: int) -> int:
+    """Bits of the wide bitmap of a set of ``n`` shingles: at least three for each."""
+    return max(1024, 1 << (3 * n - 1).bit_length())
+
+
+def _map_distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Distances of bitmaps, each pair at the narrower width: a parity bitmap is folded by adding its halves."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)])
+    for pair in np.unique(sizes, axis=0) if len(a) else ():
+        at = np.flatnonzero((sizes == pair).all(1))
+        both = [np.frombuffer(b"".join(m[k] for k in at), np.uint64).reshape(len(at), -1) for m in (a, b)]
+        least = min(x.shape[1] for x in both)
+        for k, x in enumerate(both):
+            while x.shape[1] > least:
+                half = x.shape[1] // 2
+                x = x[:, :half] ^ x[:, half:]
+            both[k] = x
+        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(1)
+    return out
+
+
 def _candidate_pairs(postings: DataFrame, t: Fraction) -> DataFrame:
     """Scans the inverted lists; ``key_a, key_b`` of the pairs that the filters on size, position and bitmap leave."""
     postings = postings.repartition("h").dropDuplicates(["h", "key"])
@@ -185,7 +220,9 @@ def _candidate_pairs(postings: DataFrame, t: Fraction) -> DataFrame:
     rest = lambda x: f"({size(x)} - (shiftright(place_{x}, 2) & 268435455))"
     needed = f"({num} * ({size('a')} + {size('b')}))"
     pairs = side("a").join(side("b"), "h").filter("key_a < key_b").filter(
-        f"(place_a & 3 = 2) = (place_b & 3 = 2) and (place_a | place_b) & 3 <> 0"
+        # pairs of light sets meet pairs only; two single shingles count unless both sets are light. (Not written as an
+        # equality of the sides: that would become a join key and cost another shuffle.)
+        "((place_a ^ place_b) & 2) = 0 and (place_a | place_b) & 3 <> 0"
         f" and {num} * {size('a')} <= {den} * {size('b')} and {num} * {size('b')} <= {den} * {size('a')}"
         f" and (place_a & 3 = 2 or {num + den} * least({rest('a')}, {rest('b')}) >= {needed})"
         f" and {num + den} * ({size('a')} + {size('b')} - {' - '.join(f'bit_count(b{x}_a ^ b{x}_b)' for x in (1, 2, 3, 4))}) >= 2 * {needed}"
@@ -237,6 +274,7 @@ def near_duplicates(
         usual = float(2 ** (met[: max(1, len(met) // 2)].mean() / 8)) if len(met) else 1.0
         boundary = choose_boundary(usual, t)
     sent = context.broadcast(table)
+    release_shuffles(df.sparkSession)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "key", "place", "b1", "b2", "b3", "b4"]
@@ -297,9 +335,9 @@ def near_duplicates(
                 text, h = reader.shingles(*([x[k] for k in at] for x in (parts, lengths, hashes)))
                 ends = np.searchsorted(text, np.arange(1, len(at)))
                 found = [np.unique(x) for x in np.split(h, ends)]
-                maps = [_bitmaps(np.zeros(len(x), np.int64), x, 1, 1024).tobytes() for x in found]
+                maps = [_bitmaps(np.zeros(len(x), np.int64), x, 1, _map_width(len(x))).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_as_long(np.array([keys[k] for k in at], np.uint64))), pa.array([len(x) for x in found], pa.int32()), pa.array(maps), pa.array([x.tobytes() for x in found])],
+                    [pa.array(_as_long(np.array([keys[k] for k in at], np.uint64))), pa.array([len(x) for x in found], pa.int32()), pa.array(maps), pa.array([_packed(x) for x in found])],
                     names=["key", "n", "map", "s"],
                 )
 
@@ -311,9 +349,8 @@ def near_duplicates(
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The same bound as by the bitmaps in the lists, on wider ones: shared <= (n_a + n_b - distance) / 2."""
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("m_a", "m_b"))
             n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-            apart = np.bitwise_count(a ^ b).sum(1).astype(np.int64)
+            apart = _map_distances(batch.column("m_a").to_pylist(), batch.column("m_b").to_pylist())
             keep = pa.array((t.numerator + t.denominator) * (n - apart) >= 2 * t.numerator * n)
             yield pa.RecordBatch.from_arrays([batch.column("key_a").filter(keep), batch.column("key_b").filter(keep)], names=["key_a", "key_b"])
 
@@ -326,9 +363,8 @@ def near_duplicates(
         for batch in batches:
             shared, whole = [], []
             for a, b in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                shared.append(len(np.intersect1d(a, b, assume_unique=True)))
-                whole.append(len(a) + len(b) - shared[-1])
+                shared.append(len(np.intersect1d(_unpacked(a), _unpacked(b), assume_unique=True)))
+                whole.append((len(a) + len(b)) // PACKED - shared[-1])
             yield pa.RecordBatch.from_arrays([batch.column("key_a"), batch.column("key_b"), pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], names=["key_a", "key_b", "n_shared", "n_all"])
 
     links = both.select("key_a", "key_b", "s_a", "s_b").mapInArrow(compare, "key_a long, key_b long, n_shared long, n_all long")

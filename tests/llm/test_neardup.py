@@ -65,6 +65,22 @@ def test_empty(spark):
     assert duplicate_pairs(members, links).count() == 0
 
 
+def test_bitmaps_never_overstate_a_distance():
+    import numpy as np
+
+    from brindle.llm.neardup import _bitmaps, _map_distances, _map_width, _packed, _unpacked
+
+    r = np.random.default_rng(1)
+    for n, m in ((30, 30), (300, 500), (900, 4000), (3000, 3100)):
+        whole = np.unique(r.integers(0, 2**63, n + m, dtype=np.uint64))
+        a, b = whole[: n], whole[n // 2 : n // 2 + m]
+        maps = [_bitmaps(np.zeros(len(x), np.int64), x, 1, _map_width(len(x))).tobytes() for x in (a, b)]
+        apart = len(np.setxor1d(a, b))
+        found = _map_distances([maps[0]], [maps[1]])[0]
+        assert 0.3 * min(apart, _map_width(min(len(a), len(b)))) < found <= apart and (found - apart) % 2 == 0
+        assert len(np.intersect1d(_unpacked(_packed(a)), _unpacked(_packed(b)))) == len(np.intersect1d(a, b))
+
+
 def test_boundary_grows_with_the_lists():
     sizes = [choose_boundary(n, Fraction("0.6")) for n in (1, 100, 1000, 10_000)]
     assert sizes == sorted(sizes) and sizes[0] < sizes[-1]
