@@ -116,9 +116,9 @@ def most_similar(
             keys = pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, b.column("id"), pa.array(raw, pa.binary())], names=["key", "id", "v"])
 
-    named = cut_lineage(rows.mapInArrow(classes, "key binary, id string, v binary").dropDuplicates(["key", "id"]))
-    members = named.select("key", "id")
-    vectors = named.dropDuplicates(["key"]).select("key", "v")
+    named = rows.mapInArrow(classes, "key binary, id string, v binary")
+    members = cut_lineage(named.select("key", "id").distinct())
+    vectors = cut_lineage(named.select("key", "v").dropDuplicates(["key"]))
     n = vectors.count()
     shape = "id string, rank_no int, other_id string, score double"
     if n == 0:
