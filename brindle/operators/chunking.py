@@ -64,3 +64,43 @@ def running_spans(df: DataFrame, group: str, order: list[str], text_col: str, ga
     before = W.partitionBy(group).orderBy(*order, text_col).rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(length + gap).over(before), F.lit(0))
     return df.withColumn("span_from", start).withColumn("span_to", start + length)
+
+
+def token_chunks(df: DataFrame, id_col: str, text_col: str, vocabulary_path: str, size: int = 512, overlap: int = 50) -> DataFrame:
+    """``id, chunk_index, text, token_count, span_start, span_end``: windows of the tokens of a public vocabulary.
+
+    ``vocabulary_path`` is a tokenizer file that every executor can read. A window covers the characters that its tokens
+    touch, so that pieces are substrings of the text even where a token ends inside a character. Null and empty texts
+    have no chunks. Each text is encoded once, in time linear in its length.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    _checked(size, overlap)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("whole")).filter("whole <> ''")
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["id", "chunk_index", "text", "token_count", "span_start", "span_end"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary_path)
+        tokenizer.encode_special_tokens = True
+        for batch in batches:
+            texts = batch.column("whole").to_pylist()
+            out: list[list] = [[] for _ in names]
+            for n, (text, coded) in enumerate(zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False))):
+                spans, start, index = coded.offsets, 0, 0
+                while start < len(spans):
+                    window = spans[start : start + size]
+                    a, b = window[0][0], max(e for _, e in window)
+                    for column, x in zip(out, (n, index, text[a:b], len(window), a, b)):
+                        column.append(x)
+                    if start + size >= len(spans):
+                        break
+                    start, index = start + size - overlap, index + 1
+            ids = batch.column("id").take(pa.array(out[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), *[pa.array(x, pa.int64()) for x in out[3:]]], names=names)
+
+    return rows.mapInArrow(cut, f"id {kind}, chunk_index long, text string, token_count long, span_start long, span_end long")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.files import checksum, extension, file_name, masked_key, safe_name
 from brindle.functions.text import clean_text, word_count
-from brindle.operators.chunking import count_windows, fixed_size_chunks, running_spans, word_chunks
+from brindle.operators.chunking import count_windows, fixed_size_chunks, running_spans, token_chunks, word_chunks
 from brindle.sources.html import parse_html, plain_text
 from brindle.sources.tables import table
 
@@ -57,6 +57,14 @@ def chunk_words(spark, d):
     return c.select(F.col("id").alias("doc_id"), "chunk_index", "text", "token_count")
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def chunk_tokens(spark, d):
+    c = token_chunks(table(spark, d, "documents"), "doc_id", "text", VOCABULARY, 128, 16)
+    return c.select(F.col("id").alias("doc_id"), "chunk_index", "text", "token_count", "span_start", "span_end")
+
+
 def clean_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", clean_text("text").alias("text"))
 
@@ -105,7 +113,7 @@ def html_plaintext(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_fixed_size, chunk_fixed_no_overlap, chunk_fixed_small, chunk_estimate, chunk_totals, chunk_overlap_check, chunk_words, clean_texts, word_counts,
+    chunk_fixed_size, chunk_fixed_no_overlap, chunk_fixed_small, chunk_estimate, chunk_totals, chunk_overlap_check, chunk_words, chunk_tokens, clean_texts, word_counts,
     text_spans, file_names, checksums, masked_ids, html_elements, html_plaintext,
 )}
 

@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 import pytest
 
-from brindle.operators.chunking import count_windows, fixed_size_chunks, running_spans, word_chunks
+from brindle.operators.chunking import count_windows, fixed_size_chunks, running_spans, token_chunks, word_chunks
 
 
 def windows(n, size, overlap):
@@ -39,6 +39,26 @@ def test_words(spark):
     assert [r.token_count for r in rows if r.id == 2] == [10] and {r.id for r in rows} == {1, 2}
 
 
+def test_tokens_of_a_public_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    texts = ["", None, "one two three", "Hello 世界 🌍 " * 60, "word " * 400, "<|endoftext|> x"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in token_chunks(df, "doc_id", "text", path, 40, 8).collect():
+        got.setdefault(r.id, []).append((r.chunk_index, r.text, r.token_count, r.span_start, r.span_end))
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert set(got) == {2, 3, 4, 5}
+    for n, rows in got.items():
+        spans = t.encode(texts[n], add_special_tokens=False).offsets
+        want = windows(len(spans), 40, 8)
+        rows.sort()
+        assert [r[2] for r in rows] == [b - a for a, b in want] and rows[0][3] == 0 and rows[-1][4] == len(texts[n])
+        assert all(texts[n][r[3] : r[4]] == r[1] for r in rows) and all(y[3] <= x[4] for x, y in zip(rows, rows[1:]))
+
+
 def test_spans(spark):
     df = spark.createDataFrame([("a", 0, "xy"), ("a", 1, None), ("a", 2, "z"), ("b", 0, "q")], "source string, ordinal int, text string")
     got = {(r.source, r.ordinal): (r.span_from, r.span_to) for r in running_spans(df, "source", ["ordinal"], "text").collect()}
