@@ -111,7 +111,7 @@ def _looks_like_furniture(s: str, title: str) -> bool:
 def _judge(page: list[tuple]) -> Iterator[tuple[str, int]]:
     """The lines of one page that aren't main content. A line: (chunk_id, line_no, text, kind, level, href, furniture)."""
     title = next((x[2].strip() for x in page if x[3] == "title"), "")
-    if not title and page and page[0][3] == "page":
+    if not title and page and page[0][3] == "page" and not _looks_like_furniture(page[0][2].strip(), ""):
         title = page[0][2].strip()
     head = re.sub(r" [–—|-] [^–—|]{1,40}$", "", title)
     flat = [x for x in page if x[3] == "page"]
@@ -123,7 +123,7 @@ def _judge(page: list[tuple]) -> Iterator[tuple[str, int]]:
     if first is None:
         first = next((n for n, (_, s, bad) in enumerate(marked) if n > 0 and not bad and len(s) > 60), len(marked))
     for n, (x, s, bad) in enumerate(marked):
-        is_main = n == 0 or n == first or (first < n <= last and not bad)
+        is_main = (n == 0 and s == title) or n == first or (first < n <= last and not bad)
         if not is_main:
             yield x[0], x[1]
 
