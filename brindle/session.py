@@ -6,6 +6,8 @@ import gc
 import os
 import tempfile
 import time
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,17 @@ def release_shuffles(spark: SparkSession) -> None:
         gc.collect()
         time.sleep(0.3)
         spark.sparkContext._jvm.System.gc()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that their Python finds it wherever it runs."""
+    context = spark.sparkContext
+    if getattr(context, "_brindle_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="brindle-package-")) / "brindle_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(Path(root.name) / p.relative_to(root)))
+    context.addPyFile(str(archive))
+    context._brindle_shipped = True
