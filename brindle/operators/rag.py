@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import word_count
 
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 NOTHING_FOUND = "No relevant documents found."
 
 
@@ -49,9 +49,13 @@ def embed(df: DataFrame, text_col: str, dim: int = 64, out_col: str = "embedding
                 if t is None:
                     out.append(None)
                     continue
-                v, s = np.zeros(dim), f" {t.lower()} "
-                h = np.fromiter((xxhash.xxh3_64_intdigest(s[n : n + 3]) for n in range(len(s) - 2)) if t else (), np.uint64)
-                np.add.at(v, (h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0))
+                v = np.zeros(dim)
+                if t:
+                    c = np.frombuffer(f" {t.lower()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+                    with np.errstate(over="ignore"):
+                        h = (c[:-2] * _ODD[0] + c[1:-1] * _ODD[1] + c[2:] * _ODD[2]) * _ODD[3]
+                    h ^= h >> np.uint64(29)
+                    v += np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), dim)
                 norm = np.linalg.norm(v)
                 out.append((v / norm if norm else v).astype(np.float32))
             yield pd.Series(out)
