@@ -2,8 +2,8 @@
 
 Broad patterns and a lexicon of names propose spans, several for one place where its boundary or type is unsure. Every
 candidate is scored as a whole (its form, the words around it, how much its parts look like names), and a dynamic
-programme over the text picks the set of spans that don't overlap with the highest score; words outside score 0. The
-weights are fitted here by the likelihood of whole segmentations, on a bounded sample of texts whose certain spans are
+programme over the text picks the set of spans that don't overlap with the highest score; words outside score 0. What
+is a word is counted over all texts, in Spark. The weights are fitted here by the likelihood of whole segmentations, on a bounded sample of texts whose certain spans are
 known by construction (forms that leave no doubt, names of the lexicon that aren't words); places that are in doubt
 are left out of the fit and are what the fitted weights then decide.
 """
@@ -17,11 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import cut_lineage
+
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Texts that the fit looks at, at most.
+#: Texts that the fit of the weights looks at, at most; words are counted in all.
 SAMPLE = 24_000
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -66,28 +69,47 @@ def _pieces(word: str) -> list[str]:
     return out + [w[n : n + 3] for n in range(len(w) - 2)] + [w[n : n + 4] for n in range(len(w) - 3)]
 
 
+class WordSet:
+    """Words as their sorted 64-bit hashes, 8 bytes each."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.astype(np.uint64))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __contains__(self, word: str) -> bool:
+        h = np.uint64(xxhash.xxh3_64_intdigest(word))
+        at = int(self.hashes.searchsorted(h))
+        return at < len(self.hashes) and self.hashes[at] == h
+
+
+def _names_in(known: list[tuple[str, str]]) -> set[str]:
+    return {name.lower() for name, kind in known if name and kind in ("given", "family")}
+
+
 class NameLexicon:
     """How much a word looks like a given or a family name: log odds of its letters, against the words of the corpus."""
 
-    def __init__(self, known: list[tuple[str, str]], words: Counter, capitalised: Counter):
+    def __init__(self, known: list[tuple[str, str]], words: WordSet, pieces: dict[str, int], plain: int):
+        """``words`` of the corpus; ``pieces``: in how many of its ``plain`` words (not names, over 2 letters) each piece is."""
         self.known = {"given": set(), "family": set()}
         for name, kind in known:
             if name and kind in self.known:
                 self.known[kind].add(name.lower())
         listed = self.known["given"] | self.known["family"]
         #: What the corpus writes in small letters more than not is a word; a known name may be one too.
-        self.words = {w for w, n in words.items() if n >= 3 and n > capitalised[w]}
-        self.ordinary = listed & self.words
-        plain = [w for w in self.words if w not in listed and len(w) > 2]
-        self.weights = self._fit([w for w in listed - self.ordinary if len(w) > 2], plain)
+        self.words = words
+        self.ordinary = {w for w in listed if w in words}
+        self.weights = self._fit([w for w in listed - self.ordinary if len(w) > 2], pieces, plain)
         self.seen: dict[str, float] = {}
         self.looked: dict[str, float] = {}
 
     @staticmethod
-    def _fit(names: list[str], words: list[str]) -> dict[str, float]:
-        a, b = Counter(p for n in names for p in set(_pieces(n))), Counter(p for w in words for p in set(_pieces(w)))
-        na, nb = len(names) + 1, len(words) + 1
-        return {p: math.log((a[p] + 0.2) / na) - math.log((b[p] + 0.2) / nb) for p in {*a, *b}}
+    def _fit(names: list[str], b: dict[str, int], words: int) -> dict[str, float]:
+        a = Counter(p for n in names for p in set(_pieces(n)))
+        na, nb = len(names) + 1, words + 1
+        return {p: math.log((a[p] + 0.2) / na) - math.log((b.get(p, 0) + 0.2) / nb) for p in {*a, *b}}
 
     def odds(self, word: str) -> float:
         """Mean log odds per piece; above 0 looks like a name."""
@@ -303,25 +325,76 @@ class SemiMarkov:
         return self
 
 
-def count_words(texts: list[str]) -> tuple[Counter, Counter]:
-    """In how many texts a word is written in small letters, and in how many otherwise; addresses of mail don't count."""
-    small, other = Counter(), Counter()
-    for t in texts:
-        t = re.sub(r"\S*(?:@|\( ?at ?\)|\[ ?at ?\])\S*", " ", t)
-        found = {p for x in _TOKEN.findall(t) for p in (x, *(x.split("-") if "-" in x else ()))}
-        small.update(x for x in found if x.islower())
-        other.update({x.lower() for x in found if x and not x.islower()})
-    return small, other
+def _add_words(text: str, small: Counter, other: Counter) -> None:
+    text = re.sub(r"\S*(?:@|\( ?at ?\)|\[ ?at ?\])\S*", " ", text)
+    found = {p for x in _TOKEN.findall(text) for p in (x, *(x.split("-") if "-" in x else ()))}
+    small.update(x for x in found if x.islower())
+    other.update({x.lower() for x in found if x and not x.islower()})
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``word, small, other``: in how many rows of ``text`` a word is written in small letters, and in how many otherwise.
+
+    All rows are read, each as a whole; addresses of mail don't count. Only counts are shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small, other = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            words = list({**small, **other})
+            columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in (small, other))]
+            small.clear()
+            other.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", "small", "other"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                _add_words(text, small, other)
+                if len(small) + len(other) > 300_000:
+                    yield counted()
+        yield counted()
+
+    counts = texts.mapInArrow(count, "word string, small long, other long")
+    return counts.groupBy("word").agg(F.sum("small").alias("small"), F.sum("other").alias("other"))
+
+
+def _count_pieces(words: DataFrame) -> DataFrame:
+    """``piece, n``: in how many of the ``word`` s each piece is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = Counter(p for w in batch.column("word").to_pylist() for p in set(_pieces(w)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["piece", "n"])
+
+    return words.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def fit_lexicon(texts: DataFrame, known: list[tuple[str, str]]) -> NameLexicon:
+    """Counts the words of every ``text``. The driver gets a hash per word of the corpus and the counts of letter pieces."""
+    words = cut_lineage(count_words(texts).filter("small >= 3 and small > other").select("word"))
+    names = texts.sparkSession.createDataFrame([(w,) for w in sorted(_names_in(known))], "word string")
+    plain = words.filter(F.length("word") > 2).join(F.broadcast(names), "word", "left_anti")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.array([xxhash.xxh3_64_intdigest(w) for w in batch.column("word").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    hashes = words.mapInArrow(hashed, "h long").toArrow().column("h").to_numpy().view(np.uint64)
+    pieces = _count_pieces(plain).toArrow()
+    return NameLexicon(known, WordSet(hashes), dict(zip(pieces.column("piece").to_pylist(), pieces.column("n").to_pylist())), plain.count())
 
 
 def fit_finder(texts: DataFrame, known_names: DataFrame, sample: int = SAMPLE) -> tuple[NameLexicon, SemiMarkov]:
-    """Lexicon and weights from at most ``sample`` texts (those of the smallest hashes) and the table of known names."""
-    text = texts.columns[0]
-    rows = texts.select(F.col(text).alias("text")).filter("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-    bodies = [r.text[:20_000] for r in rows]  # of the sample; every text is searched as a whole
+    """Lexicon of all texts and the table of known names; weights from at most ``sample`` distinct texts (smallest hashes)."""
+    rows = texts.select(F.col(texts.columns[0]).alias("text")).filter("text is not null")
     known = [(r.name, r.kind) for r in known_names.select("name", "kind").distinct().limit(100_000).collect()]
-    lexicon = NameLexicon(known, *count_words(bodies))
-    return lexicon, SemiMarkov().fit([cs for cs in (candidates(t, lexicon) for t in bodies) if cs])
+    lexicon = fit_lexicon(rows, known)
+    h = F.xxhash64("text")
+    last = rows.select(h.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    bodies = sorted((r.h, r.text) for r in rows.filter(h <= F.lit(last)).distinct().select(h.alias("h"), "text").collect())
+    return lexicon, SemiMarkov().fit([cs for cs in (candidates(t, lexicon) for _, t in bodies) if cs])
 
 
 def find_personal_data(df: DataFrame, id_col: str, text_col: str, lexicon: NameLexicon, model: SemiMarkov) -> DataFrame:

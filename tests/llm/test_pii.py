@@ -88,3 +88,15 @@ def test_rows_and_redaction(spark, finder):
 def test_fit_on_nothing(spark):
     lexicon, model = fit_finder(spark.createDataFrame([], "text string"), spark.createDataFrame([], "name string, kind string"))
     assert model.decode(candidates("call 0199 005630", lexicon)) is not None
+
+
+def test_words_are_counted_in_all_texts(spark):
+    rows = [(f"The gate of Mirelda number {k} is read.",) for k in range(200)]
+    rows += [("x " * 10_500 + "zorvane and mirelda",)] * 3 + [("Zorvane",), ("mirelda",), (None,), ("",)]
+    known = spark.createDataFrame([("Mirelda", "given"), ("Zorvane", "family")], "name string, kind string")
+    lexicon, _ = fit_finder(spark.createDataFrame(rows, "text string"), known, sample=2)
+    assert "gate" in lexicon.words and lexicon.odds("gate") == -3.0
+    # three whole texts have it in small letters, one otherwise; the other name is written with a capital more often
+    assert lexicon.ordinary == {"zorvane"} and lexicon.odds("mirelda") == 3.0
+    small, _ = fit_finder(spark.createDataFrame(rows, "text string").repartition(7), known, sample=200)
+    assert (small.words.hashes == lexicon.words.hashes).all() and small.weights == lexicon.weights
