@@ -6,7 +6,8 @@ severity is the sum of both probabilities. A document's score is that of its wor
 
 Reviewers labelled documents, not sentences, and erred at times. So the fit first guesses the sentence that a label
 means (the one whose words are most enriched in the category against the corpus), fits, guesses again with the fitted
-model, and at last takes clear cases from unlabelled texts in. Words are read through their disguises: look-alike
+model, and at last takes clear cases from unlabelled texts in. What is common in the corpus, as words and as features,
+is counted in Spark over all documents; only the sentences of the fit come from a bounded number of them. Words are read through their disguises: look-alike
 letters, digits for letters, spaced or dotted letters, masked, doubled and dropped letters.
 """
 
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.mixing import source_key
+from brindle.session import cut_lineage
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: The fit looks at no more labelled and unlabelled documents than these.
-LABELLED, UNLABELLED = 8_000, 4_000
+LABELLED, UNLABELLED = 20_000, 6_000
 BITS = 18
 
 #: Letters of other scripts that look like Latin ones.
@@ -181,10 +183,56 @@ class Ordinal:
         return self
 
 
-def _enriched(texts: list[set[int]], others: list[set[int]]) -> dict[int, float]:
-    a, b = Counter(f for t in texts for f in t), Counter(f for t in others for f in t)
-    na, nb = len(texts) + 1, len(others) + 1
-    return {f: np.log((n + 0.1) / na) - np.log((b[f] + 0.5) / nb) for f, n in a.items()}
+def _raw_words(text: str) -> set[str]:
+    return set(_WORD.findall(plain_text(text)))
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """``word, n``: in how many rows of ``text`` a word occurs as it is written. All rows are read; counts are shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter()
+
+        def counted() -> pa.RecordBatch:
+            columns = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update(_raw_words(text))
+                if len(seen) > 300_000:
+                    yield counted()
+        yield counted()
+
+    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def count_features(texts: DataFrame, reader: Reader) -> tuple[np.ndarray, int]:
+    """In how many rows of ``text`` each feature is, and how many have any. All rows are read; the counters are of fixed size."""
+    sent = texts.sparkSession.sparkContext.broadcast(reader)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, n = sent.value, np.zeros((1 << BITS) + 1, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if found := {f for s in reader.sentences(text) for f in reader.features(s)}:
+                    n[np.fromiter(found, np.int64, len(found))] += 1
+                    n[-1] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["feature", "n"])
+
+    total = texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((1 << BITS) + 1, np.int64)
+    out[total.column("feature").to_numpy()] = total.column("n").to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def _enriched(texts: list[set[int]], background: np.ndarray, n_documents: int) -> dict[int, float]:
+    """Log odds of the features of ``texts`` against all other documents."""
+    a = Counter(f for t in texts for f in t)
+    na, nb = len(texts) + 1, n_documents - len(texts) + 1
+    return {f: np.log((n + 0.1) / na) - np.log((background[f] - n + 0.5) / nb) for f, n in a.items()}
 
 
 def _best_cut(positive: np.ndarray, clean: np.ndarray) -> float:
@@ -196,17 +244,25 @@ def _best_cut(positive: np.ndarray, clean: np.ndarray) -> float:
     return float((best[0] + best[-1]) / 2)
 
 
-def fit_severity(labelled: list[tuple[str, str]], unlabelled: list[str], terms: list[tuple[str, str]], rounds: int = 4) -> tuple[Reader, dict[str, Ordinal]]:
-    """Reader and one model per category from (text, category) rows, plain texts and (term, category) rows."""
-    texts = [t for t, _ in labelled] + unlabelled
-    raw = [set(_WORD.findall(plain_text(t))) for t in texts]
-    spread = Counter(w for s in raw for w in s)
-    common = {w for w, n in spread.items() if n >= max(5, 0.004 * len(texts))}
+def fit_reader(texts: DataFrame, labelled: list[tuple[str, str]], terms: list[tuple[str, str]]) -> Reader:
+    """Reader by the words of all ``texts``, of (text, category) rows and of (term, category) rows."""
+    words, total = cut_lineage(count_words(texts)), texts.count()
+    # a document has so many words; so these are no more than 250 times the words of a usual one
+    common = {r.word for r in words.filter(F.col("n") >= max(5, 0.004 * total)).collect()}
     listed = {w for t, _ in terms if t for w in plain_text(t).split()}
-    bad = [s for s, (_, c) in zip(raw, labelled) if c in CATEGORIES]
-    marked = Counter(w for s in bad for w in s)
-    lexicon = listed | {w for w, n in marked.items() if w.isalpha() and w not in common and n >= 2 and n * len(texts) > 3 * spread[w] * len(bad)}
-    reader = Reader(lexicon, common)
+    bad = [_raw_words(t) for t, c in labelled if c in CATEGORIES]
+    marked = {w: n for w, n in Counter(w for s in bad for w in s).items() if w.isalpha() and w not in common and n >= 2}
+    asked = texts.sparkSession.createDataFrame([(w,) for w in sorted(marked)], "word string")
+    spread = {r.word: r.n for r in words.join(F.broadcast(asked), "word").collect()}
+    return Reader(listed | {w for w, n in marked.items() if n * total > 3 * spread[w] * len(bad)}, common)
+
+
+def fit_severity(reader: Reader, background: np.ndarray, n_documents: int, labelled: list[tuple[str, str]], unlabelled: list[str], terms: list[tuple[str, str]], rounds: int = 4) -> dict[str, Ordinal]:
+    """One model per category from (text, category) rows, plain texts and (term, category) rows.
+
+    ``background`` tells in how many of all ``n_documents`` documents, those with a label among them, each feature is.
+    """
+    texts = [t for t, _ in labelled] + unlabelled
     words, rows, owner = [], [], []
     for k, t in enumerate(texts):
         for sentence in reader.sentences(t):
@@ -229,10 +285,7 @@ def fit_severity(labelled: list[tuple[str, str]], unlabelled: list[str], terms:
         unclear = (of != "none") & (of != category)
         mine = [{f for n in spans[k] for f in rows[n]} for k in sorted(positive)]
         seen = Counter(f for t in mine for f in t)
-        bags: dict[int, set[int]] = {}
-        for n in np.flatnonzero(of != category):
-            bags.setdefault(int(owner[n]), set()).update(rows[n])
-        odds = _enriched(mine, list(bags.values()))
+        odds = _enriched(mine, background, n_documents)
         # with enough examples, what only one of them has says nothing yet
         least = 2 if len(positive) >= 12 else 1
         odds = {f: x for f, x in odds.items() if x > 1.0 and seen[f] >= least}
@@ -266,11 +319,11 @@ def fit_severity(labelled: list[tuple[str, str]], unlabelled: list[str], terms:
             whole = np.array([p[at].max() if len(at) else 0.0 for at in spans])
             model.centre(_best_cut(whole[truth[: len(spans)] == category], whole[truth[: len(spans)] == "none"]))
         models[category] = model
-    return reader, models
+    return models
 
 
 def fit_from_tables(documents: DataFrame, labels: DataFrame, terms: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[Reader, dict[str, Ordinal]]:
-    """Fits on at most ``labelled`` labels (smallest ids) and ``unlabelled`` other texts (smallest hashes)."""
+    """Fits on at most ``labelled`` labels (smallest ids) and ``unlabelled`` other texts (smallest hashes), against the counts of all texts."""
     given = labels.select("doc_id", F.lower("category").alias("category")).filter("doc_id is not null and category is not null").distinct()
     given = given.orderBy("doc_id", "category").limit(labelled)
     texts = documents.select("doc_id", "text").filter("text is not null")
@@ -280,7 +333,8 @@ def fit_from_tables(documents: DataFrame, labels: DataFrame, terms: DataFrame, l
     rows = [(r.text, r.category) for r in sorted(rows, key=lambda r: (r.doc_id, r.category)) if r.category != "none" or not sure[r.doc_id]]
     others = texts.join(F.broadcast(given.select("doc_id").distinct()), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(unlabelled)
     known = [(r.term, r.category) for r in terms.select("term", "category").distinct().limit(10_000).collect()]
-    return fit_severity(rows, [r.text for r in others.collect()], known)
+    reader = fit_reader(texts.select("text"), rows, known)
+    return reader, fit_severity(reader, *count_features(texts.select("text"), reader), rows, [r.text for r in others.collect()], known)
 
 
 def score_documents(documents: DataFrame, reader: Reader, models: dict[str, Ordinal]) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm.abuse import CATEGORIES, Ordinal, Reader, fit_from_tables, plain_text, rates_by_source, score_documents
+from brindle.llm.abuse import CATEGORIES, Ordinal, Reader, count_features, fit_from_tables, plain_text, rates_by_source, score_documents
 
 NOUNS = "cache shard ledger parser index window mirror policy gauge token".split()
 BAD = {
@@ -82,3 +82,18 @@ def test_nothing_labelled(spark):
     docs = spark.createDataFrame([(1, "Some text.", "a")], "doc_id long, text string, source string")
     reader, models = fit_from_tables(docs, empty, spark.createDataFrame([], "term string, category string"))
     assert all(r.p_content < 0.01 for r in score_documents(docs, reader, models).collect())
+
+
+def test_the_corpus_is_all_documents(spark):
+    # "grendle" is in 4 of 6 labelled documents and in a third of all others, "snorvel" in the labelled ones only
+    docs = [(k, "You snorvel and grendle.", "a") for k in range(4)] + [(k, "The cache is read.", "a") for k in (4, 5)]
+    docs += [(k, "A grendle keeps rows." if k % 3 == 0 else f"The shard {k} is read.", "a") for k in range(6, 1206)]
+    documents = spark.createDataFrame([*docs, (None, None, "a")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, "abusive" if k < 4 else "none") for k in range(6)], "doc_id long, category string")
+    terms = spark.createDataFrame([], "term string, category string")
+    reader, models = fit_from_tables(documents, labels, terms, unlabelled=3)
+    # whatever the sample, these and no others are in 5 documents and more
+    assert reader.common == {"the", "is", "read", "a", "grendle", "keeps", "rows", "shard"} and reader.lexicon == {"you", "snorvel", "and"}
+    n, total = count_features(documents.select("text").filter("text is not null").repartition(5), reader)
+    assert total == 1206 and n.max() == 802 and sorted(n[reader.features(["grendle"])]) == [0, 404]
+    assert fit_from_tables(documents, labels, terms, unlabelled=300)[0].common == reader.common
