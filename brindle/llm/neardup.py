@@ -8,7 +8,7 @@ join complete, a good one keeps it cheap). Two sets of similarity ``t`` then sha
 * *light* (small) sets enumerate the pairs of shingles in that longer prefix: a pair is shared by hardly anything but
   near-duplicates;
 * *heavy* (large) sets, whose pairs would be too many, scan the inverted lists of their prefix, against heavy and
-  light sets alike.
+  light sets alike. So do sets so small that one shared shingle is enough.
 
 The boundary between them is where both cost the same, by the counts of the collection. Lists are joined with exact
 filters on size, position and a parity bitmap (its distance never exceeds that of the sets), so that hardly a
@@ -273,6 +273,7 @@ def near_duplicates(
         met = np.sort(table[0][table[0] > 1])
         usual = float(2 ** (met[: max(1, len(met) // 2)].mean() / 8)) if len(met) else 1.0
         boundary = choose_boundary(usual, t)
+    lone = t.denominator // t.numerator  # up to this size one shared shingle may be enough, so pairs would miss it
     sent = context.broadcast(table)
     release_shuffles(df.sparkSession)
 
@@ -292,9 +293,9 @@ def near_duplicates(
             size = np.bincount(text, minlength=len(new))
             place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
             p = size - -(-(size * t.numerator) // t.denominator) + 1
-            light = size <= boundary
+            light = (size <= boundary) & (size > lone)
             shared = code > 1  # a count of one: no other set has it
-            single = shared & (place < p[text]) & (~light | (size * t.denominator >= boundary * t.numerator))[text]
+            single = shared & (place < p[text]) & (~light | (size * t.denominator >= boundary * t.numerator) | (size * t.numerator <= lone * t.denominator))[text]
             rows_text, rows_h, rows_place, rows_kind = [text[single]], [h[single]], [place[single]], [np.where(light, 0, 1)[text[single]]]
             if light.any():
                 at = np.flatnonzero(shared & light[text] & (place < p[text] + 1))

@@ -84,3 +84,13 @@ def test_bitmaps_never_overstate_a_distance():
 def test_boundary_grows_with_the_lists():
     sizes = [choose_boundary(n, Fraction("0.6")) for n in (1, 100, 1000, 10_000)]
     assert sizes == sorted(sizes) and sizes[0] < sizes[-1]
+
+
+@pytest.mark.parametrize("similarity,boundary", [("0.6", 0), ("0.6", 70), ("0.6", 1), ("0.4", 70), ("0.3", 2)])
+def test_sets_that_need_one_shared_shingle(spark, similarity, boundary):
+    rows = [(1, f"one{n}", " ".join(["word"] * n)) for n in (30, 31, 45)]
+    rows += [(1, f"two{n}", " ".join(["a", "b"] * n)) for n in (15, 16)] + [(1, f"three{n}", " ".join(["a", "b"] * n + ["c"])) for n in (15, 16)]
+    rows += [(1, "four", " ".join(["word"] * 30 + ["c", "d", "e"])), (1, "other", " ".join(f"w{n}" for n in range(40)))]
+    df = spark.createDataFrame(rows, "part int, id string, text string")
+    found = {(r.id_a, r.id_b) for r in duplicate_pairs(*near_duplicates(df, "id", "text", "part", similarity, 3, 30, boundary=boundary, bits=14)).collect()}
+    assert ("one30", "one31") in found and found == plain(rows, similarity, 3, 30)
