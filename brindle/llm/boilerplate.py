@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from brindle.functions.text import strip
 from brindle.session import cut_lineage
 
-#: Elements of a page that are read together; more of them are read as several pages.
-SECTION = 5_000
+#: Lines of a page that are held together; a page of more is judged by joins.
+LONG = 5_000
 #: Winning paths (8 bytes each) that are broadcast at most; more of them are joined by a shuffle.
 MOST_SENT = 100_000
 _MENU = re.compile(r"(?:[^|·/>»•]{1,40}(?: [|·/>»] |\s{2,})){2,}[^|·/>»•]{1,40}$")
@@ -108,12 +108,23 @@ def _looks_like_furniture(s: str, title: str) -> bool:
     return "  " not in s or all(x[:1].isupper() for x in items)  # else words set far apart
 
 
+def _title_of(titled: str | None, top_kind: str | None, top_line: str) -> tuple[str, str]:
+    """Title and headline of a page, by its first title and its first line."""
+    title = (titled or "").strip()
+    if not title and top_kind == "page" and not _looks_like_furniture(top_line.strip(), ""):
+        title = top_line.strip()
+    return title, re.sub(r" [–—|-] [^–—|]{1,40}$", "", title)
+
+
+def _kind_of(s: str, kind: str | None, level: bool, href: bool, title: str, head: str) -> str:
+    if kind is None:
+        return "heading" if level else "link" if href else "title" if s == title or s == head else "paragraph"
+    return kind
+
+
 def _judge(page: list[tuple]) -> Iterator[tuple[str, int]]:
     """The lines of one page that aren't main content. A line: (chunk_id, line_no, text, kind, level, href, furniture)."""
-    title = next((x[2].strip() for x in page if x[3] == "title"), "")
-    if not title and page and page[0][3] == "page" and not _looks_like_furniture(page[0][2].strip(), ""):
-        title = page[0][2].strip()
-    head = re.sub(r" [–—|-] [^–—|]{1,40}$", "", title)
+    title, head = _title_of(next((x[2] for x in page if x[3] == "title"), None), *((page[0][3], page[0][2]) if page else (None, "")))
     flat = [x for x in page if x[3] == "page"]
     rest = [x for x in page if x[3] != "page"]
 
@@ -130,8 +141,7 @@ def _judge(page: list[tuple]) -> Iterator[tuple[str, int]]:
     paragraphs, links = [], []
     for x in rest:
         s, kind = x[2].strip(), x[3]
-        if kind is None:
-            kind = "heading" if x[4] else "link" if x[5] else "title" if s == title or s == head else "paragraph"
+        kind = _kind_of(s, kind, x[4], x[5], title, head)
         if kind == "title":
             continue
         if kind == "link":
@@ -146,30 +156,80 @@ def _judge(page: list[tuple]) -> Iterator[tuple[str, int]]:
             yield x[0], x[1]
 
 
+def _judge_long(lines: DataFrame) -> DataFrame:
+    """What ``_judge`` gives, for pages too long to be held: their title, bounds and paragraphs are aggregated and joined."""
+    lines = lines.dropDuplicates(["source", "ordinal", "chunk_id", "line_no"]).withColumn("at", F.struct("ordinal", "chunk_id", "line_no"))
+    opening = lines.groupBy("source").agg(
+        F.min(F.struct("at", "kind", "line")).alias("top"), F.min(F.when(F.col("kind") == "title", F.struct("at", "line"))).alias("titled"),
+        F.min(F.when(F.col("kind") == "page", F.col("at"))).alias("begin"),
+    )
+    opening = opening.select("source", "begin", F.col("top.kind").alias("top_kind"), F.col("top.line").alias("top_line"), F.col("titled.line").alias("title"))
+    rows = lines.join(opening, "source").select("source", "ordinal", "chunk_id", "line_no", "line", "kind", "level", "href", "furniture", "top_kind", "top_line", "title", (F.col("at") == F.col("begin")).alias("begins"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for line, kind, level, href, furniture, top_kind, top_line, title in zip(*(batch.column(c).to_pylist() for c in ("line", "kind", "level", "href", "furniture", "top_kind", "top_line", "title"))):
+                s, title, head = line.strip(), *_title_of(title, top_kind, top_line)
+                kind = _kind_of(s, kind, level, href, title, head)
+                out.append((s, kind, furniture or (kind not in ("title", "link") and _looks_like_furniture(s, head)), _is_sentence(s), s == title, s == head, len(s) > 60))
+            columns = list(zip(*out)) or [()] * 7
+            added = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.bool_()) for c in columns[2:])]
+            kept = ["source", "ordinal", "chunk_id", "line_no", "begins"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added], names=[*kept, "s", "role", "bad", "sentence", "is_title", "is_head", "is_long"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    shape = ", ".join(f"{c} {kinds[c]}" for c in ("source", "ordinal", "chunk_id", "line_no", "begins"))
+    marked = cut_lineage(rows.mapInArrow(mark, f"{shape}, s string, role string, bad boolean, sentence boolean, is_title boolean, is_head boolean, is_long boolean"))
+    flat = marked.filter("role = 'page'").withColumn("at", F.struct("ordinal", "chunk_id", "line_no"))
+    bounds = flat.groupBy("source").agg(
+        F.coalesce(F.min(F.expr("CASE WHEN NOT begins AND is_head THEN at END")), F.min(F.expr("CASE WHEN NOT begins AND NOT bad AND is_long THEN at END"))).alias("first"),
+        F.max(F.expr("CASE WHEN NOT bad AND sentence THEN at END")).alias("last"),
+    )
+    is_main = F.expr("(begins AND is_title) OR coalesce(at = first, false) OR (coalesce(first < at AND at <= last, false) AND NOT bad)")
+    flat = flat.join(bounds, "source").filter(~is_main)
+    rest = marked.filter("role not in ('page', 'title')")
+    body = rest.filter("role not in ('link', 'heading') and not bad").select(F.col("source").alias("of"), F.col("s").alias("body")).distinct()
+    links = rest.filter("role = 'link'")
+    named = links.filter("not bad").select("source", "s").distinct().join(body, (F.col("source") == F.col("of")) & F.col("body").contains(F.col("s")), "left_semi")
+    links = links.join(named.withColumn("named", F.lit(True)), ["source", "s"], "left").filter("bad or named is null")
+    parts = [flat, rest.filter("role <> 'link' and bad"), links]
+    out = [x.select("chunk_id", F.col("line_no").cast("bigint").alias("line_no")) for x in parts]
+    return out[0].union(out[1]).union(out[2])
+
+
 def furniture_lines(chunks: DataFrame, share: float = 0.2, least_pages: int = 3) -> DataFrame:
     """``chunk_id, line_no`` (from 0) of each line of a web page that isn't main content.
 
     Rows without ``parser = html`` in their metadata, null and empty texts and blank lines give nothing. A row that is
     repeated counts once. A missing type is read from level and link target, else the row is a paragraph. A null source
-    is a page without host. Extra columns are ignored. Pages of more than ``SECTION`` elements are read in sections.
+    is a page without host. Extra columns are ignored. Pages of more than ``LONG`` lines are judged by joins, with the
+    same result.
     """
     lines = page_lines(chunks)
     local, everywhere, openings = vote(lines, share, least_pages)
     known = _marked(_marked(_marked(lines, local, "local_id", "here"), everywhere, "path_id", "anywhere"), openings, "opening_id", "opens")
     titled = F.coalesce(F.col("kind") == "title", F.lit(False))
     furniture = ~titled & (F.col("here").isNotNull() | F.col("anywhere").isNotNull() | (F.col("opens").isNotNull() & F.col("short")))
-    section = F.expr(f"ordinal div {SECTION}").alias("section")
-    laid = known.select("source", section, "ordinal", "chunk_id", "line_no", "line", "kind", "level", "href", furniture.alias("furniture"))
-    laid = laid.repartition("source", "section").sortWithinPartitions("source", "section", "ordinal", "chunk_id", "line_no")
+    known = known.select("source", "ordinal", "chunk_id", "line_no", "line", "kind", "level", "href", furniture.alias("furniture"))
+    long = cut_lineage(lines.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG).select("source"))
+    if long.isEmpty():
+        return _judge_short(known)
+    return _judge_short(known.join(long, "source", "left_anti")).union(_judge_long(known.join(long, "source")))
+
+
+def _judge_short(lines: DataFrame) -> DataFrame:
+    """What ``_judge`` gives for each page, one page held at a time."""
+    laid = lines.repartition("source").sortWithinPartitions("source", "ordinal", "chunk_id", "line_no")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, page, met, out = None, [], None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("source", "section", "chunk_id", "line_no", "line", "kind", "level", "href", "furniture")]
-            for source, part, *x in zip(*columns):
-                if (source, part) != now:
+            columns = [batch.column(c).to_pylist() for c in ("source", "chunk_id", "line_no", "line", "kind", "level", "href", "furniture")]
+            for source, *x in zip(*columns):
+                if source != now:
                     out.extend(_judge(page))
-                    now, page, met = (source, part), [], None
+                    now, page, met = source, [], None
                 if (x[0], x[1]) != met:  # else a repeated row
                     page.append(tuple(x))
                     met = (x[0], x[1])

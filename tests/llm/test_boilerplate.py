@@ -58,3 +58,17 @@ def test_empty_and_null_source(spark):
     assert furniture_lines(df).count() == 0
     assert furniture_lines(df.limit(0)).count() == 0
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_a_long_page_is_one_page(spark, pages, monkeypatch):
+    rows, _ = pages
+    url = "https://long.example/a"
+    kinds = {0: ("The long page - Example", "title"), 1: ("Home | Prices | Help | Login", "paragraph"), 5001: ("Home > The long page", "paragraph"), 5002: ("moved the shard", "link"), 5003: ("nowhere named", "link")}
+    long = [(f"l{k}", url, k, *kinds.get(k, (f"Line {k} tells how we moved the shard.", "paragraph"))) for k in range(5004)]
+    rows = [*rows, *[(a, b, k, text, {"parser": "html", "type": kind}, "", "") for a, b, k, text, kind in long], *rows[:20]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = [tuple(r) for r in furniture_lines(df).collect()]
+    assert {x for x in out if x[0] in ("l5001", "l5002", "l5003")} == {("l5001", 0), ("l5003", 0)} and len(out) == len(set(out))
+    for most in (0, 8, 10**6):
+        monkeypatch.setattr("brindle.llm.boilerplate.LONG", most)
+        assert sorted(tuple(r) for r in furniture_lines(df).collect()) == sorted(out)
