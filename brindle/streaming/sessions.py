@@ -10,8 +10,8 @@ def stream_sessions(events: DataFrame, key: Column, time: Column, event_id: Colu
     """Sessions of a streaming ``events``: ``key, start_time, end_time, n_events``, emitted once the watermark passed.
 
     An event that arrives within ``lateness`` still merges into its session, joining two sessions if it bridges them;
-    a redelivered event (same id) within the watermark counts once. A pause of exactly ``gap`` ends a session here, as
-    Spark's session windows are half open; ``gap`` may be given a microsecond longer to include it.
+    a redelivered event (same id) within the watermark counts once. A pause of exactly ``gap`` doesn't end a session,
+    as Spark merges session windows that touch.
     """
     rows = events.select(key.alias("key"), time.cast("timestamp").alias("t"), event_id.alias("id"))
     rows = rows.filter("key is not null and t is not null").withWatermark("t", lateness).dropDuplicatesWithinWatermark(["key", "id"])

@@ -75,3 +75,13 @@ def test_stream_gives_the_same_sessions(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.sql("select n_events from found where key = 'a' order by start_time").collect()
     assert [r.n_events for r in out] == [3, 2]
+
+
+def test_stream_keeps_a_pause_of_exactly_the_gap(spark, tmp_path):
+    rows = [("a", "2024-01-01 10:00:00", "1"), ("a", "2024-01-01 10:30:00", "2"), ("b", "2024-01-01 10:00:00", "3"), ("b", "2024-01-01 10:30:00.000001", "4"), ("z", "2024-01-03 00:00:00", "5")]
+    events = spark.createDataFrame(rows, "k string, ts string, id string").withColumn("ts", F.to_timestamp("ts"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = stream_sessions(stream, F.col("k"), F.col("ts"), F.col("id")).writeStream.format("memory").queryName("exact_gap").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.key, r.n_events) for r in spark.table("exact_gap").collect()) == [("a", 2), ("b", 1), ("b", 1)]
