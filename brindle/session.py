@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import time
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,10 +36,12 @@ def build_session(master: str = "local[8]", app: str = "brindle", shuffle_partit
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of the driver's machine only where it is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, one of the driver's machine in local mode, else an error."""
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = "file://" + tempfile.mkdtemp(prefix="brindle-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(current)
@@ -50,6 +54,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed columnar table in the shared folder, of which later steps read the columns they need."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of stages that nothing refers to any more, now instead of at some later collection."""
     for _ in range(2):  # what Python lets go of reaches the JVM a little later
