@@ -21,7 +21,8 @@ def test_mix_reaches_the_shares_and_caps(spark):
     targets = spark.createDataFrame([("big_source", 0.7, 1), ("small_source", 0.3, 3)], TARGETS)
     mix = mix_sources(df, targets)
     out = mix.collect()
-    assert max(r.copies for r in out if r.source == "small_source") == 3 and max(r.copies for r in out if r.source == "big_source") == 1
+    assert max(r.copy_no for r in out if r.source == "small_source") == 3 and max(r.copy_no for r in out if r.source == "big_source") == 1
+    assert len({(r.doc_id, r.copy_no) for r in out}) == len(out) and {r.copy_no for r in out} == {1, 2, 3}
     assert not {r.doc_id for r in out} & {9000, 9001, 9002, 9003, 9004}
     for r in mix_report(mix, targets).collect():
         assert r.share == pytest.approx(r.target_share, abs=0.03)
@@ -33,4 +34,4 @@ def test_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
     mix = mix_sources(df, targets)
     assert mix.count() == 0
-    assert [tuple(r) for r in mix_report(mix, targets).collect()] == [("a", 1.0, 0, 0, 0.0)]
+    assert [tuple(r) for r in mix_report(mix, targets).collect()] == [("a", 1.0, 0, 0, 0, 0.0)]
