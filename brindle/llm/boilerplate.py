@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import strip
-from brindle.session import cut_lineage
+from brindle.functions.text import WS, strip
+from brindle.session import cut_lineage, written
 
 #: Lines of a page that are held together; a page of more is judged by joins.
 LONG = 5_000
@@ -46,29 +46,32 @@ def generalised(line: Column, site: Column) -> Column:
 
 
 def page_lines(chunks: DataFrame) -> DataFrame:
-    """The non-blank lines of rows whose metadata has ``parser = html``, with hashes of host, path, opening and page."""
+    """The non-blank lines of rows whose metadata has ``parser = html``, with hashes of host, path, opening and page; written once.
+
+    A row without source is a page of its own.
+    """
     meta = lambda k: F.col("metadata")[k]
     rows = chunks.filter((meta("parser") == "html") & F.col("text").isNotNull()).select(
-        "chunk_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("ordinal", F.lit(0)).alias("ordinal"),
+        "chunk_id", F.coalesce("source", F.concat(F.lit("row "), "chunk_id"), F.lit("")).alias("source"), F.coalesce("ordinal", F.lit(0)).alias("ordinal"),
         meta("type").alias("kind"), meta("level").isNotNull().alias("level"), meta("href").isNotNull().alias("href"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
-    rows = rows.filter(F.length(strip("line")) > 0)
+    rows = rows.filter(F.col("line").rlike(f"[^{WS}]"))
     host = F.lower(F.regexp_extract("source", r"^[a-zA-Z][\w+.-]*://([^/?#:]+)", 1))
     labels = F.split(host, r"\.")
     site = F.regexp_extract(F.element_at(labels, F.greatest(F.size(labels) - 1, F.lit(1))), "^([a-z]+)", 1)
-    text = generalised(F.col("line"), site)
-    rows = rows.withColumn("path", text)
-    start = F.when(F.split("path", " ")[0].endswith(":"), F.split("path", " ")[0]).otherwise(F.substring_index("path", " ", 2))
+    rows = rows.withColumn("path", generalised(F.col("line"), site))
+    first = F.substring_index("path", " ", 1)
+    start = F.when(first.endswith(":"), first).otherwise(F.substring_index("path", " ", 2))
     short = ~F.col("path").rlike(r"[.!?。！？:]$") & (F.size(F.split("path", " ")) <= 14)
     ids = [F.xxhash64(host).alias("host_id"), F.xxhash64(host, F.col("path")).alias("local_id"), F.xxhash64("path").alias("path_id"), F.xxhash64(start).alias("opening_id")]
-    return rows.select(*[c for c in rows.columns if c != "path"], *ids, F.xxhash64("source").alias("page_id"), short.alias("short"))
+    return written(rows.select(*[c for c in rows.columns if c != "path"], *ids, F.xxhash64("source").alias("page_id"), short.alias("short")))
 
 
 def vote(lines: DataFrame, share: float = 0.2, least_pages: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``local_id`` of paths that win on their host, ``path_id`` of those that win everywhere, ``opening_id`` of varying furniture.
 
-    Only hashes are counted and sent: a row per host, path and page at most.
+    Only hashes are read, counted and sent: a row per host, path and page at most.
     """
     on = lines.groupBy("host_id", "local_id", "path_id", "page_id").agg(F.lit(1).alias("one")).groupBy("host_id", "local_id", "path_id").agg(F.count(F.lit(1)).alias("pages"))
     whole = lines.groupBy("host_id", "page_id").agg(F.lit(1).alias("one")).groupBy("host_id").agg(F.count(F.lit(1)).alias("all_pages"))
@@ -78,10 +81,8 @@ def vote(lines: DataFrame, share: float = 0.2, least_pages: int = 3) -> tuple[Da
     everywhere = everywhere.filter("2 * won >= pages").select("path_id")
     typed = lines.filter(F.col("kind").isin("title", "heading", "paragraph"))
     paragraph = F.col("kind") == "paragraph"
-    opened = typed.groupBy("opening_id").agg(
-        F.count_if(~paragraph).alias("titles"), F.count_if(paragraph & F.col("short")).alias("shorts"), F.count_if(paragraph).alias("rows"),
-        F.approx_count_distinct(F.when(paragraph & F.col("short"), F.col("path_id"))).alias("forms"),
-    )
+    forms = typed.groupBy("opening_id", "path_id").agg(F.count_if(~paragraph).alias("titles"), F.count_if(paragraph & F.col("short")).alias("shorts"), F.count_if(paragraph).alias("rows"))
+    opened = forms.groupBy("opening_id").agg(*[F.sum(c).alias(c) for c in ("titles", "shorts", "rows")], F.count_if(F.col("shorts") > 0).alias("forms"))
     openings = opened.filter("shorts >= 4 and forms >= 3 and shorts >= 0.8 * rows and titles <= 0.02 * shorts").select("opening_id")
     return local, everywhere, openings
 
@@ -198,14 +199,8 @@ def _judge_long(lines: DataFrame) -> DataFrame:
     return out[0].union(out[1]).union(out[2])
 
 
-def furniture_lines(chunks: DataFrame, share: float = 0.2, least_pages: int = 3) -> DataFrame:
-    """``chunk_id, line_no`` (from 0) of each line of a web page that isn't main content.
-
-    Rows without ``parser = html`` in their metadata, null and empty texts and blank lines give nothing. A row that is
-    repeated counts once. A missing type is read from level and link target, else the row is a paragraph. A null source
-    is a page without host. Extra columns are ignored. Pages of more than ``LONG`` lines are judged by joins, with the
-    same result.
-    """
+def _known_lines(chunks: DataFrame, share: float, least_pages: int) -> tuple[DataFrame, DataFrame | None]:
+    """Lines with ``furniture`` true where a winning path says so: those of pages that can be held, and of longer ones, if any."""
     lines = page_lines(chunks)
     local, everywhere, openings = vote(lines, share, least_pages)
     known = _marked(_marked(_marked(lines, local, "local_id", "here"), everywhere, "path_id", "anywhere"), openings, "opening_id", "opens")
@@ -214,40 +209,66 @@ def furniture_lines(chunks: DataFrame, share: float = 0.2, least_pages: int = 3)
     known = known.select("source", "ordinal", "chunk_id", "line_no", "line", "kind", "level", "href", furniture.alias("furniture"))
     long = cut_lineage(lines.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LONG).select("source"))
     if long.isEmpty():
-        return _judge_short(known)
-    return _judge_short(known.join(long, "source", "left_anti")).union(_judge_long(known.join(long, "source")))
+        return known, None
+    return known.join(long, "source", "left_anti"), known.join(long, "source")
+
+
+def furniture_lines(chunks: DataFrame, share: float = 0.2, least_pages: int = 3) -> DataFrame:
+    """``chunk_id, line_no`` (from 0) of each line of a web page that isn't main content.
+
+    Rows without ``parser = html`` in their metadata, null and empty texts and blank lines give nothing. A row that is
+    repeated counts once. A missing type is read from level and link target, else the row is a paragraph. A row without
+    source is a page of its own, without host. Extra columns are ignored. Pages of more than ``LONG`` lines are judged
+    by joins, with the same result.
+    """
+    known, long = _known_lines(chunks, share, least_pages)
+    short = _judge_short(known).filter("not main").select("chunk_id", "line_no")
+    return short if long is None else short.union(_judge_long(long))
 
 
 def _judge_short(lines: DataFrame) -> DataFrame:
-    """What ``_judge`` gives for each page, one page held at a time."""
+    """``source, chunk_id, ordinal, line_no, line, main`` by ``_judge``, one page held at a time."""
     laid = lines.repartition("source").sortWithinPartitions("source", "ordinal", "chunk_id", "line_no")
+    names = ["source", "chunk_id", "line_no", "line", "kind", "level", "href", "furniture"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, page, met, out = None, [], None, []
+
+        def judged() -> None:
+            bad = set(_judge([x[:-1] for x in page]))
+            out.extend((now, x[0], x[-1], x[1], x[2], (x[0], x[1]) not in bad) for x in page)
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("source", "chunk_id", "line_no", "line", "kind", "level", "href", "furniture")]
+            columns = [batch.column(c).to_pylist() for c in (*names, "ordinal")]
             for source, *x in zip(*columns):
                 if source != now:
-                    out.extend(_judge(page))
+                    judged()
                     now, page, met = source, [], None
                 if (x[0], x[1]) != met:  # else a repeated row
                     page.append(tuple(x))
                     met = (x[0], x[1])
-            yield _cases(out)
-            out = []
-        out.extend(_judge(page))
-        yield _cases(out)
+            yield _judged(out)
+            out.clear()
+        judged()
+        yield _judged(out)
 
-    return laid.mapInArrow(extract, "chunk_id string, line_no long")
+    return laid.mapInArrow(extract, "source string, chunk_id string, ordinal int, line_no long, line string, main boolean")
 
 
-def _cases(out: list[tuple[str, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["chunk_id", "line_no"])
+def _judged(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out)) or [()] * 6
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["source", "chunk_id", "ordinal", "line_no", "line", "main"])
 
 
 def main_text(chunks: DataFrame, share: float = 0.2, least_pages: int = 3) -> DataFrame:
     """``source, chunk_id, ordinal, text``: each web page row with its main lines only; rows without any are left out."""
-    lines = page_lines(chunks).select("source", "chunk_id", "ordinal", F.col("line_no").cast("bigint").alias("line_no"), "line").dropDuplicates(["chunk_id", "line_no"])
-    kept = lines.join(furniture_lines(chunks, share, least_pages), ["chunk_id", "line_no"], "left_anti")
+    known, long = _known_lines(chunks, share, least_pages)
+    columns = ["source", "chunk_id", "ordinal", "line_no", "line"]
+    kept = _judge_short(known).filter("main").select(columns)
+    if long is not None:
+        own = long.select("source", "chunk_id", "ordinal", F.col("line_no").cast("long").alias("line_no"), "line").dropDuplicates(["chunk_id", "line_no"])
+        kept = kept.union(own.join(_judge_long(long), ["chunk_id", "line_no"], "left_anti").select(columns))
     body = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    return kept.groupBy("source", "chunk_id", "ordinal").agg(F.array_join(body, "\n").alias("text"))
+    own = F.when(~F.startswith("source", F.lit("row ")), F.col("source")).alias("source")
+    return kept.groupBy("source", "chunk_id", "ordinal").agg(F.array_join(body, "\n").alias("text")).select(own, "chunk_id", "ordinal", "text")
