@@ -97,7 +97,8 @@ def p9_shares(spark, d):
 
 def _severity(spark, d):
     documents = table(spark, d, "documents")
-    return documents, score_documents(documents, *fit_from_tables(documents, table(spark, d, "content_labels"), table(spark, d, "content_terms")))
+    numbered, models, _ = fit_from_tables(documents, table(spark, d, "content_labels"), table(spark, d, "content_terms"))
+    return documents, score_documents(numbered, models)
 
 
 #: A document counts for a category from this probability of the highest grade on.
