@@ -3,9 +3,9 @@
 Broad patterns and a lexicon of names propose spans, several for one place where its boundary or type is unsure. Every
 candidate is scored as a whole (its form, the words around it, how much its parts look like names), and a dynamic
 programme over the text picks the set of spans that don't overlap with the highest score; words outside score 0. What
-is a word is counted over all texts, in Spark. The weights are fitted here by the likelihood of whole segmentations, on a bounded sample of texts whose certain spans are
-known by construction (forms that leave no doubt, names of the lexicon that aren't words); places that are in doubt
-are left out of the fit and are what the fitted weights then decide.
+is a word is counted over all texts, in Spark. The weights are fitted here by the likelihood of whole segmentations, on
+a bounded sample of texts whose certain spans are known by construction (forms that leave no doubt, names of the lexicon
+that aren't words); places that are in doubt are left out of the fit and are what the fitted weights then decide.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.sampling import unit_draw
 from brindle.session import cut_lineage
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Texts that the fit of the weights looks at, at most; words are counted in all.
-SAMPLE = 24_000
+#: Texts that the fit of the weights looks at, at most, and the characters of the longest; words are counted in all.
+SAMPLE, LONGEST = 24_000, 20_000
+#: Known names at most; more are an error, none is left out.
+MOST_NAMES = 2_000_000
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _AT = r"(?: ?@ ?| ?\( ?at ?\) ?| ?\[ ?at ?\] ?)"
@@ -387,14 +390,20 @@ def fit_lexicon(texts: DataFrame, known: list[tuple[str, str]]) -> NameLexicon:
 
 
 def fit_finder(texts: DataFrame, known_names: DataFrame, sample: int = SAMPLE) -> tuple[NameLexicon, SemiMarkov]:
-    """Lexicon of all texts and the table of known names; weights from at most ``sample`` distinct texts (smallest hashes)."""
+    """Lexicon of all texts and the table of known names; weights from at most ``sample`` distinct texts (smallest draws).
+
+    Texts of more than ``LONGEST`` characters are read like all others, but not for the fit.
+    """
     rows = texts.select(F.col(texts.columns[0]).alias("text")).filter("text is not null")
-    known = [(r.name, r.kind) for r in known_names.select("name", "kind").distinct().limit(100_000).collect()]
+    known = [(r.name, r.kind) for r in known_names.select("name", "kind").distinct().limit(MOST_NAMES + 1).collect()]
+    if len(known) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} known names")
     lexicon = fit_lexicon(rows, known)
-    h = F.xxhash64("text")
-    last = rows.select(h.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    bodies = sorted((r.h, r.text) for r in rows.filter(h <= F.lit(last)).distinct().select(h.alias("h"), "text").collect())
-    return lexicon, SemiMarkov().fit([cs for cs in (candidates(t, lexicon) for _, t in bodies) if cs])
+    short = rows.filter(F.length("text") <= LONGEST)
+    share = F.lit(1.1 * sample / max(1, short.count()))  # equal texts have equal draws, so repeats only make the sample smaller
+    near = short.filter(unit_draw(F.col("text"), 3) < share).distinct()
+    bodies = [r.text for r in near.orderBy(unit_draw(F.col("text"), 3), "text").limit(sample).collect()]
+    return lexicon, SemiMarkov().fit([cs for cs in (candidates(t, lexicon) for t in bodies) if cs])
 
 
 def find_personal_data(df: DataFrame, id_col: str, text_col: str, lexicon: NameLexicon, model: SemiMarkov) -> DataFrame:
