@@ -1,8 +1,9 @@
 """The most similar vectors of every vector: an inverted file of coarse centroids with product-quantised residuals.
 
 1. Vectors that are equal are one class; classes are searched, and members get the result of theirs.
-2. Centroids and residual codebooks are fitted on a bounded sample of the classes (smallest hashes); every class is
-   then indexed: by its nearest centroid, with the codes of its residual.
+2. Centroids and residual codebooks are fitted on a bounded sample of the classes (smallest hashes), the centroids in two
+   levels; every class is then indexed: by its nearest centroid, with the codes of its residual. The cells grow as
+   2 * sqrt(n), so that a cell and the list of cells grow alike.
 3. Every class probes the cells whose centroid is nearly as close as the nearest one. In a cell, tables of the
    products of the query with each codebook entry give the score of every code (asymmetric distance); the best of
    them are scored again on the vectors themselves, in double precision.
@@ -25,11 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brindle.llm.sampling import least_draws
 from brindle.session import cut_lineage
 
-#: Fitting looks at no more than this many vectors; indexing and searching at all.
-SAMPLE = 20_000
+#: Fitting looks at no more than this many vectors, or ``PER_CELL`` for each cell where that is more (as the square root
+#: of the collection: 64 MB for 500 million vectors); indexing and searching at all.
+SAMPLE, PER_CELL = 20_000, 6
 BLOCK = 8_192
+#: Vectors of the sample that the codebooks are fitted on.
+CODED = 20_000
 
 
 def _fit_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int, unit: bool) -> np.ndarray:
@@ -46,12 +51,33 @@ def _fit_kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int, un
     return c.astype(np.float32)
 
 
+def _fit_cells(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` centroids of length one in two levels: about sqrt(k) groups, each with a share of the centroids by its size."""
+    top = _fit_kmeans(x, max(1, int(np.sqrt(k))), rng, 10, unit=True)
+    own = (x @ top.T).argmax(1)
+    n = np.bincount(own, minlength=len(top))
+    want = k * n / len(x)
+    share = np.maximum(np.floor(want), n > 0).astype(np.int64)
+    order = np.argsort(share - want, kind="stable")
+    share[order[: max(0, k - share.sum())]] += 1
+    share = np.minimum(share, n)
+    c = np.concatenate([_fit_kmeans(x[own == g], int(share[g]), rng, 10, unit=True) for g in range(len(top)) if share[g]])
+    for _ in range(2):  # across the borders of the groups, in blocks
+        own = np.concatenate([(x[s : s + 2048] @ c.T).argmax(1) for s in range(0, len(x), 2048)])
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(length > 1e-12, total / np.maximum(length, 1e-12), c).astype(np.float32)
+    return c
+
+
 class Quantiser:
     """Coarse centroids and, per group of dimensions, a codebook of residuals."""
 
     def __init__(self, sample: np.ndarray, cells: int, groups: int, entries: int = 256, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.centroids = _fit_kmeans(sample, cells, rng, 10, unit=True)
+        self.centroids = _fit_cells(sample, cells, rng)
+        sample = sample[:CODED]
         rest = sample - self.centroids[(sample @ self.centroids.T).argmax(1)]
         self.groups = np.array_split(np.arange(sample.shape[1]), groups)
         self.books = [_fit_kmeans(rest[:, g], min(entries, max(1, len(sample))), rng, 6, unit=False) for g in self.groups]
@@ -93,15 +119,15 @@ def usable_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> Dat
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 5, least_score: float = -1.0, cells: int | None = None, groups: int = 16, margin: float = 0.1, most_probes: int = 6, depth: int = 64
+    df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 5, least_score: float = -1.0, cells: int | None = None, groups: int = 16, margin: float = 0.1, most_probes: int | None = None, depth: int = 64
 ) -> DataFrame:
     """``id, rank_no, other_id, score``: for every id the (at most) ``k`` other ids of the highest cosine.
 
     Scores are cosines in double precision, rounded to 6 decimals, of at least ``least_score``; the smaller id comes
     first among equal scores. Vectors of another length, with null, NaN or infinite numbers or all zero have no
     neighbours and are none; null ids don't count. A repeated row counts once; an id that has two different vectors has
-    the neighbours of each. ``margin`` (radians), ``most_probes`` and ``depth`` (candidates per cell that are scored
-    exactly) trade accuracy for time. No more than ``k`` neighbours are listed, however many copies a vector has. An
+    the neighbours of each. ``margin`` (radians), ``most_probes`` (by default one more than the fourth root of the cells, 6 at least)
+    and ``depth`` (candidates per cell that are scored exactly, and all that tie with the last) trade accuracy for time. No more than ``k`` neighbours are listed, however many copies a vector has. An
     empty table gives no rows; other columns aren't read.
     """
     if not 1 <= k <= depth:
@@ -123,9 +149,10 @@ def most_similar(
     shape = "id string, rank_no int, other_id string, score double"
     if n == 0:
         return spark.createDataFrame([], shape)
-    sample = [r.v for r in vectors.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()]
+    cells = cells or max(1, int(2 * np.sqrt(n)))
+    sample = [r.v for r in least_draws(vectors, "key", n, max(SAMPLE, PER_CELL * cells)).collect()]
     u = _unit(np.frombuffer(b"".join(sample), np.float32).reshape(-1, dim)).astype(np.float32)
-    cells = cells or int(np.clip(2 * np.sqrt(n), 1, 4096))
+    probes = most_probes or max(6, int(np.ceil(cells**0.25)) + 1)
     quantiser = spark.sparkContext.broadcast(Quantiser(u, min(cells, len(u)), min(groups, dim)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +162,7 @@ def most_similar(
             u = _unit(_vectors(b.column("v"), dim)).astype(np.float32)
             for s in range(0, len(u), 4096):
                 p = np.arccos(np.clip(u[s : s + 4096] @ q.centroids.T, -1, 1))
-                most = min(most_probes, p.shape[1])
+                most = min(probes, p.shape[1])
                 near = np.argpartition(p, most - 1, 1)[:, :most]
                 angle = np.take_along_axis(p, near, 1)
                 who, which = np.nonzero(angle <= angle.min(1, keepdims=True) + margin)
@@ -172,16 +199,24 @@ def most_similar(
             for s in range(0, len(q_exact), step):
                 q = q_exact[s : s + step]
                 approx = quant.scores(q.astype(np.float32), cell, codes)
-                best = np.argpartition(-approx, deep - 1, 1)[:, :deep]
-                for t in range(0, len(q), 512):
-                    score = np.round(np.einsum("qd,qcd->qc", q[t : t + 512], exact[best[t : t + 512]]), 6)
-                    score = np.where(np.abs(score) > 1, np.sign(score), score)
-                    # all that tie with the k-th are kept: the ids decide later
-                    edge = np.partition(score, -min(k + 1, deep), 1)[:, -min(k + 1, deep)]
-                    who, which = np.nonzero((score >= edge[:, None]) & (score >= least_score))
-                    out[0].append(who + s + t)
-                    out[1].append(best[t + who, which])
-                    out[2].append(score[who, which])
+                # all whose codes tie with the last that is taken are taken
+                edge = -np.partition(-approx, deep - 1, 1)[:, deep - 1]
+                who, which = np.nonzero(approx >= edge[:, None])
+                score = np.empty(len(who))
+                for t in range(0, len(who), 65_536):
+                    part = slice(t, t + 65_536)
+                    score[part] = np.einsum("nd,nd->n", q[who[part]], exact[which[part]])
+                score = np.round(score, 6)
+                score = np.where(np.abs(score) > 1, np.sign(score), score)
+                # all that tie with the k-th are kept: the ids decide later
+                order = np.lexsort((-score, who))
+                who, which, score = who[order], which[order], score[order]
+                size = np.bincount(who, minlength=len(q))
+                edge = score[np.cumsum(size) - size + np.minimum(k, size - 1)]
+                keep = (score >= edge[who]) & (score >= least_score)
+                out[0].append(who[keep] + s)
+                out[1].append(which[keep])
+                out[2].append(score[keep])
             a, b, c = (np.concatenate(x) for x in out)
             return pa.Table.from_arrays([query_keys.take(pa.array(a)), index_keys.take(pa.array(b)), pa.array(c)], names=names).combine_chunks()
         return pa.Table.from_arrays([pa.array([], pa.binary()), pa.array([], pa.binary()), pa.array([], pa.float64())], names=names)
