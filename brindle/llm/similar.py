@@ -119,7 +119,7 @@ def usable_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> Dat
 
 
 def most_similar(
-    df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 5, least_score: float = -1.0, cells: int | None = None, groups: int = 16, margin: float = 0.1, most_probes: int | None = None, depth: int = 64
+    df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 5, least_score: float = -1.0, cells: int | None = None, groups: int = 16, margin: float = 0.15, most_probes: int | None = None, depth: int = 64
 ) -> DataFrame:
     """``id, rank_no, other_id, score``: for every id the (at most) ``k`` other ids of the highest cosine.
 
