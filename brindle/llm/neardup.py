@@ -6,15 +6,18 @@ join complete, a good one keeps it cheap). Two sets of similarity ``t`` then sha
 ``n - ceil(t n) + 1`` of each, and two shingles among the first ``n - ceil(t n) + 2``.
 
 * *light* (small) sets enumerate the pairs of shingles in that longer prefix: a pair is shared by hardly anything but
-  near-duplicates;
+  near-duplicates. Pairs are first counted in a table of two bits each, and only those are listed that another set may
+  have too;
 * *heavy* (large) sets, whose pairs would be too many, scan the inverted lists of their prefix, against heavy and
   light sets alike. So do sets so small that one shared shingle is enough.
 
-The boundary between them is where both cost the same, by the counts of the collection. Lists are joined with exact
-filters on size, position and a parity bitmap (its distance never exceeds that of the sets), so that hardly a
+The boundary between them is where both cost the same, by the counts of the collection: a pair costs little more than
+a candidate, so light sets pay where lists are long, and the boundary grows with the collection. Lists are joined with
+exact filters on size, position and a parity bitmap (its distance never exceeds that of the sets), so that hardly a
 candidate is left that isn't a result, and every candidate is then checked on the full sets. Texts with equal words
-are one class throughout; classes are linked, members never expanded. Nothing is sampled, capped or dropped: shingles
-that occur in one set only are left out of the lists, as they can't be shared.
+are one class throughout; classes are linked, members never expanded. A list of more than ``GRID`` is joined as a grid
+of blocks. Nothing is sampled, capped or dropped: shingles that occur in one set only are left out of the lists, as they
+can't be shared. Texts are read once, into 32-bit hashes of their words, which are written and read by all later steps.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import connected_components
-from brindle.session import cut_lineage, release_shuffles
+from brindle.session import cut_lineage, release_shuffles, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Counters of the sketch: two rows of 2**BITS; their size, one byte each when broadcast, doesn't grow with the data.
@@ -39,6 +43,10 @@ BITS = 22
 BLOCK = 1 << 16
 #: Bytes of a shingle's hash that are sent for the final comparison: by chance alike once in 2**40 / (n * m).
 PACKED = 5
+#: Slots of the table that tells which pairs occur again: two bits each, whatever the collection.
+PAIR_BITS = 24
+#: Postings of a list that are joined as one block, by its count.
+GRID = 4_096
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -49,64 +57,51 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """64-bit hashes of words, kept up to a bound."""
+    """32-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, w: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        h = self[w] = xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF
         return h
 
 
-class _Reader:
-    """Reads batches of texts into arrays of shingle hashes, a whole batch at a time."""
-
-    def __init__(self, width: int, least_words: int):
-        self.width, self.least, self.known = width, least_words, _Words()
-        self.seen: set[int] = set()
-
-    def words(self, batches: Iterator[pa.RecordBatch], most_words: int = 500_000):
-        """(ids, keys, parts, lengths, word hashes) of the texts with enough words, in blocks of about ``most_words``."""
-        ids, keys, parts, lengths, hashes, held = [], [], [], [], [], 0
-        for batch in batches:
-            for part, key, text in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "text"))):
-                words = WORD.findall(text.lower())
-                if len(words) < self.least:
-                    continue
-                h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-                ids.append(key)
-                keys.append(xxhash.xxh3_64_intdigest(h.data, seed=part % (1 << 32)))
-                parts.append(part % (1 << 32))
-                lengths.append(len(h))
-                hashes.append(h)
-                held += len(h)
-                if held > most_words:
-                    yield ids, keys, parts, lengths, hashes
-                    ids, keys, parts, lengths, hashes, held = [], [], [], [], [], 0
-        if ids:
-            yield ids, keys, parts, lengths, hashes
-
-    def new(self, keys: list[int]) -> list[int]:
-        """Places of the keys that this task hasn't met (as far as it remembers)."""
-        out = []
-        for n, k in enumerate(keys):
-            if k not in self.seen:
-                if len(self.seen) < 200_000:
-                    self.seen.add(k)
-                out.append(n)
-        return out
-
-    def shingles(self, parts: list[int], lengths: list[int], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of the text, hash) of each shingle, in order of the texts, with repeats."""
-        h, n = np.concatenate(hashes), np.array(lengths)
-        text = np.repeat(np.arange(len(n)), n)
-        left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # words from here to the end of the text
-        at = np.flatnonzero(left >= self.width)
-        s = np.array(parts, np.uint64)[text[at]]  # so that nothing is shared between collections
-        with np.errstate(over="ignore"):
-            for k in range(self.width):
-                s = _mix(s + h[at + k] + _M3)
-        return text[at], s
+def _shingles(parts: list[int], words: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of each shingle, in order of the texts, with repeats."""
+    n = np.array([len(w) for w in words])
+    h = np.concatenate(words).astype(np.uint64)
+    text = np.repeat(np.arange(len(n)), n)
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # words from here to the end of the text
+    at = np.flatnonzero(left >= width)
+    s = np.array(parts, np.int64).astype(np.uint64)[text[at]]  # so that nothing is shared between collections
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            s = _mix(s + h[at + k] * _M2 + _M3)
+    return text[at], s
+
+
+def _once(text: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """Which of sorted rows differ from the one before."""
+    new = text[1:] != text[:-1]
+    for x in rest:
+        new |= x[1:] != x[:-1]
+    return np.concatenate([np.ones(min(1, len(text)), bool), new])
+
+
+def _texts(batches: Iterator[pa.RecordBatch], most_words: int = 500_000) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+    """(keys, parts, words) of the written texts, in blocks of about ``most_words``."""
+    keys, parts, words, held = [], [], [], 0
+    for batch in batches:
+        for key, part, data in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "words"))):
+            keys.append(key)
+            parts.append(part)
+            words.append(np.frombuffer(data, np.uint32))
+            held += len(words[-1])
+            if held > most_words:
+                yield keys, parts, words
+                keys, parts, words, held = [], [], [], 0
+    if keys:
+        yield keys, parts, words
 
 
 def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,25 +128,78 @@ class _Counter:
         flat = self.rows.reshape(-1)
         for no, start in enumerate(range(0, len(flat), BLOCK)):
             if flat[start : start + BLOCK].any():
-                yield no, zlib.compress(flat[start : start + BLOCK].tobytes(), 1)
+                yield no, zlib.compress(flat[start : start + BLOCK].astype(np.uint32).tobytes(), 1)
 
 
-def _merge_blocks(blocks: DataFrame, bits: int) -> np.ndarray:
-    """The counters over all tasks as codes of one byte (0, 1 exact; then 8 steps per doubling). Fixed size: 2**(bits+1) bytes."""
+class _Twice:
+    """Whether a hash was met never, once or more often, in one table of fixed size; gives the blocks that aren't empty."""
+
+    def __init__(self):
+        self.table = np.zeros(1 << PAIR_BITS, np.uint32)
+
+    def add(self, h: np.ndarray) -> None:
+        at, n = np.unique(_pair_slots(h), return_counts=True)
+        self.table[at] = np.minimum(self.table[at] + n, 2)
+
+    blocks = lambda self: _Counter.blocks(self)
+    rows = property(lambda self: self.table)
+
+
+def _pair_slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
+def _sum_blocks(blocks: DataFrame, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, sums) of ``block, task, data`` over all tasks, summed as a tree: no group has more than 64 blocks."""
 
     def add(keys, pdf):
         import pandas as pd
 
-        total = np.sum([np.frombuffer(zlib.decompress(data), np.uint16) for data in pdf["data"]], axis=0, dtype=np.int64)
-        code = np.where(total < 2, total, np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))))
-        return pd.DataFrame({"block": [keys[0]], "data": [code.astype(np.uint8).tobytes()]})
+        total = np.zeros(min(BLOCK, length), np.uint64)
+        for data in pdf["data"]:
+            total += np.frombuffer(zlib.decompress(data), np.uint32)
+        return pd.DataFrame({"block": [keys[0]], "task": [keys[1]], "data": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
+
+    tasks = (blocks.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        blocks = blocks.groupBy("block", F.expr("cast(task div 64 as int)").alias("task")).applyInPandas(add, "block int, task int, data binary")
+        tasks = -(-tasks // 64)
+        if tasks == 1:
+            break
+    for r in blocks.toLocalIterator():
+        yield r.block * BLOCK, np.frombuffer(zlib.decompress(r.data), np.uint32)
+
 
+def _merge_counters(blocks: DataFrame, bits: int) -> np.ndarray:
+    """The counters over all tasks as codes of one byte (0, 1 exact; then 8 steps per doubling). Fixed size: 2**(bits+1) bytes."""
     out = np.zeros(2 << bits, np.uint8)
-    for r in blocks.groupBy("block").applyInPandas(add, "block int, data binary").toLocalIterator():
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.data, np.uint8)
+    for start, total in _sum_blocks(blocks, 2 << bits):
+        out[start : start + len(total)] = np.where(total < 2, total, np.minimum(255, np.floor(8 * np.log2(np.maximum(total, 1)))))
     return out.reshape(2, 1 << bits)
 
 
+def _merge_twice(blocks: DataFrame) -> np.ndarray:
+    """One bit per slot: whether any two sets, of whatever tasks, have a pair there. Fixed size: 2**(PAIR_BITS-3) bytes."""
+    out = np.zeros(1 << PAIR_BITS, bool)
+    for start, total in _sum_blocks(blocks, 1 << PAIR_BITS):
+        out[start : start + len(total)] = total > 1
+    return np.packbits(out)
+
+
+def _emitter(make) -> object:
+    """A map of batches to the blocks of what ``make`` gives for them, with the number of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for no, data in make(batches).blocks():
+            yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([task], pa.int32()), pa.array([data])], names=["block", "task", "data"])
+
+    return run
+
+
+_BLOCKS = "block int, task int, data binary"
+
+
 def _codes(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     a, b = _slots(h, bits)
     return np.minimum(table[0][a], table[1][b])
@@ -172,17 +220,73 @@ def _prefix_length(n: int, t: Fraction) -> int:
     return n - -(-(n * t.numerator) // t.denominator) + 1
 
 
-def choose_boundary(codes_of_lists: float, t: Fraction, row_cost: float = 12.0) -> int:
-    """The largest size of a light set. Enumerating costs ``row_cost`` per pair of the prefix, scanning the length of a list per shingle of it."""
+def choose_boundary(list_length: float, t: Fraction, pair_cost: float = 1.5) -> int:
+    """The largest size of a light set.
+
+    Enumerating costs ``pair_cost`` per pair of the longer prefix (to count it, and to list it if it occurs again), scanning a
+    candidate for half the list of each shingle of the prefix.
+    """
     size = 1
     while size < 100_000:
         p = _prefix_length(size + 1, t)
-        if (p + 1) * p / 2 * row_cost > p * (row_cost + codes_of_lists):
+        if (p + 1) * p / 2 * pair_cost > p * list_length / 2:
             return size if size > 1 else 0
         size += 1
     return size
 
 
+def expected_list(table: np.ndarray, t: Fraction) -> float:
+    """The mean length of the lists that prefixes meet, by the counts of all shingles.
+
+    Prefixes hold the rarer part of each set's shingles, so the rarer part of all occurrences, of what occurs more than
+    once. What other shingles add to a counter by chance is taken off.
+    """
+    c = np.exp2(table[0][table[0] > 0] / 8.0)
+    met = np.sort(np.maximum(1.0, c - c.sum() / table.shape[1]))
+    mass = np.cumsum(met)
+    low = met[mass <= mass[-1] * float(1 - t)] if len(met) else met
+    low = low[low > 1]
+    return float((low * low).sum() / low.sum()) if len(low) else 1.0
+
+
+def _ordered(codes: np.ndarray, parts: list[int], words: list[np.ndarray], width: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, code) of the distinct shingles, per text in the global order: by count, then by hash."""
+    text, h = _shingles(parts, words, width)
+    code = _codes(codes, h, bits)
+    order = np.lexsort((h, text * 256 + code))
+    text, h, code = text[order], h[order], code[order]
+    once = _once(text, h)
+    return text[once], h[once], code[once]
+
+
+def _pairs_of(at: np.ndarray, text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, second place, hash) of all pairs of the places ``at`` within each text, by the number of places."""
+    starts = np.flatnonzero(_once(text[at])) if len(at) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(at)))
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.flatnonzero(np.bincount(sizes)) if len(sizes) else ():
+        a, b = np.triu_indices(n, 1)
+        own = at[starts[sizes == n][:, None] + np.arange(n)]
+        first.append(own[:, a].reshape(-1))
+        second.append(own[:, b].reshape(-1))
+    first, second = np.concatenate(first), np.concatenate(second)
+    with np.errstate(over="ignore"):
+        return first, second, _mix(_mix(h[first]) + h[second])
+
+
+def _gridded(h: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): rows of long lists once for each cell of the grid that their block is in; any two blocks share one cell."""
+    m = np.maximum(1, np.ceil(length / GRID)).astype(np.int64)
+    row = np.repeat(np.arange(len(h)), m)
+    if len(row) == len(h):
+        return row, h
+    other = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+    mine = ((_mix(key) >> np.uint64(8)) % m.astype(np.uint64)).astype(np.int64)[row]
+    cell = np.minimum(mine, other) * m[row] + np.maximum(mine, other)
+    with np.errstate(over="ignore"):
+        return row, np.where(m[row] > 1, _mix(h[row] + (cell.astype(np.uint64) + np.uint64(1)) * _M2), h[row])
+
+
 def _bitmaps(text: np.ndarray, s: np.ndarray, n: int, width: int = 256) -> np.ndarray:
     """Per text, the parity of how many of its distinct shingles fall on each of ``width`` bits, as 64-bit numbers."""
     at = text * width + (s >> np.uint64(20) & np.uint64(width - 1)).astype(np.int64)
@@ -211,9 +315,9 @@ def _map_distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _candidate_pairs(postings: DataFrame, t: Fraction) -> DataFrame:
+def _candidate_pairs(postings: DataFrame, t: Fraction, partitions: int) -> DataFrame:
     """Scans the inverted lists; ``key_a, key_b`` of the pairs that the filters on size, position and bitmap leave."""
-    postings = postings.repartition("h").dropDuplicates(["h", "key"])
+    postings = postings.repartition(partitions, "h").dropDuplicates(["h", "key"])
     side = lambda x: postings.select(F.col("h"), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "place", "b1", "b2", "b3", "b4")])
     num, den = t.numerator, t.denominator
     size = lambda x: f"shiftright(place_{x}, 32)"
@@ -251,98 +355,123 @@ def near_duplicates(
     # a text of n words has at least 2 n - 1 characters
     rows = rows.filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.schema([("block", pa.int32()), ("data", pa.binary()), ("key", pa.int64()), ("id", pa.string())])
-        sketch, reader = _Counter(bits), _Reader(width, least_words)
-        for ids, keys, parts, lengths, hashes in reader.words(batches):
-            if new := reader.new(keys):
-                text, h = reader.shingles(*([x[k] for k in new] for x in (parts, lengths, hashes)))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text; its words go with the first text of a class that the task remembers."""
+        known, seen, sketch = _Words(), set(), _Counter(bits)
+        names, types = ["block", "task", "data", "key", "part", "id", "words"], [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.binary()]
+        for batch in batches:
+            keys, parts, ids, data, fresh = [], [], [], [], []
+            for p, key, text in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "text"))):
+                words = WORD.findall(text.lower())
+                if len(words) < least_words:
+                    continue
+                h = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+                mark = xxhash.xxh3_64_intdigest(h.data, seed=p % (1 << 32))
+                new = mark not in seen
+                if new:
+                    if len(seen) < 200_000:
+                        seen.add(mark)
+                    fresh.append((p, h))
+                for column, x in zip((keys, parts, ids, data), (mark, p, key, h.tobytes() if new else None)):
+                    column.append(x)
+            while fresh:
+                block, held = [], 0
+                while fresh and held < 500_000:
+                    block.append(fresh.pop())
+                    held += len(block[-1][1])
+                text, h = _shingles([p for p, _ in block], [w for _, w in block], width)
                 order = np.lexsort((h, text))
                 text, h = text[order], h[order]
-                sketch.add(h[np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])])
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(_as_long(np.array(keys, np.uint64))), pa.array(ids, pa.string())], schema=shape)
-        for no, data in sketch.blocks():
-            yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([data]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string())], schema=shape)
-
-    first = cut_lineage(rows.mapInArrow(count, "block int, data binary, key long, id string"))
-    members = first.filter("key is not null").select("key", "id").distinct()
-    table = _merge_blocks(first.filter("block is not null").select("block", "data"), bits)
+                sketch.add(h[_once(text, h)])
+            none = [None] * len(keys)
+            columns = [none, none, none, _as_long(np.array(keys, np.uint64)), parts, ids, data]
+            yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(columns, types)], names=names)
+        task = TaskContext.get().partitionId()
+        for no, block in sketch.blocks():
+            yield pa.RecordBatch.from_arrays([pa.array([x], ty) for x, ty in zip((no, task, block, None, None, None, None), types)], names=names)
+
+    table = written(rows.mapInArrow(read, _BLOCKS + ", key long, part int, id string, words binary"))
+    members = table.filter("key is not null").select("key", "id").distinct()
+    texts = table.filter("words is not null").select("key", "part", "words")
+    # so many postings that a partition of them stays small, whatever the session's number of partitions
+    n_words = texts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_words // 4 // 600_000)
+    counted = _merge_counters(table.filter("block is not null").select("block", "task", "data"), bits)
     if boundary is None:
-        # the expected length of a list that a prefix meets: counts between two and the bulk's
-        met = np.sort(table[0][table[0] > 1])
-        usual = float(2 ** (met[: max(1, len(met) // 2)].mean() / 8)) if len(met) else 1.0
-        boundary = choose_boundary(usual, t)
+        boundary = choose_boundary(expected_list(counted, t), t)
     lone = t.denominator // t.numerator  # up to this size one shared shingle may be enough, so pairs would miss it
-    sent = context.broadcast(table)
-    release_shuffles(df.sparkSession)
+    sent = context.broadcast(counted)
+
+    def prefixes(keys: list[int], parts: list[int], words: list[np.ndarray]) -> tuple:
+        """Ordered shingles, sizes, places, prefix lengths, which sets are light, and the places that their pairs are made of."""
+        text, h, code = _ordered(sent.value, parts, words, width, bits)
+        size = np.bincount(text, minlength=len(keys))
+        place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+        p = size - -(-(size * t.numerator) // t.denominator) + 1
+        light = (size <= boundary) & (size > lone)
+        # a count of one: no other set has it
+        return text, h, code, size, place, p, light, np.flatnonzero((code > 1) & light[text] & (place < p[text] + 1))
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> _Twice:
+        out = _Twice()
+        for keys, parts, words in _texts(batches):
+            text, h, *_, at = prefixes(keys, parts, words)
+            out.add(_pairs_of(at, text, h)[2])
+        return out
+
+    again = None
+    if boundary > lone:
+        again = context.broadcast(_merge_twice(texts.mapInArrow(_emitter(count_pairs), _BLOCKS)))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "key", "place", "b1", "b2", "b3", "b4"]
-        codes, reader = sent.value, _Reader(width, least_words)
-        for _, keys, parts, lengths, hashes in reader.words(batches):
-            new = reader.new(keys)
-            if not new:
-                continue
-            text, h = reader.shingles(*([x[k] for k in new] for x in (parts, lengths, hashes)))
-            code = _codes(codes, h, bits)
-            order = np.lexsort((h, text * 256 + code))  # the global order: by count, then by hash
-            text, h, code = text[order], h[order], code[order]
-            once = np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])])
-            text, h, code = text[once], h[once], code[once]
-            size = np.bincount(text, minlength=len(new))
-            place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-            p = size - -(-(size * t.numerator) // t.denominator) + 1
-            light = (size <= boundary) & (size > lone)
-            shared = code > 1  # a count of one: no other set has it
-            single = shared & (place < p[text]) & (~light | (size * t.denominator >= boundary * t.numerator) | (size * t.numerator <= lone * t.denominator))[text]
-            rows_text, rows_h, rows_place, rows_kind = [text[single]], [h[single]], [place[single]], [np.where(light, 0, 1)[text[single]]]
-            if light.any():
-                at = np.flatnonzero(shared & light[text] & (place < p[text] + 1))
-                for group in np.split(at, np.flatnonzero(np.diff(text[at])) + 1):
-                    a, b = np.triu_indices(len(group), 1)
-                    if len(a):
-                        with np.errstate(over="ignore"):
-                            rows_h.append(_mix(_mix(h[group[a]]) + h[group[b]]))
-                        rows_text.append(text[group[a]])
-                        rows_place.append(place[group[a]])
-                        rows_kind.append(np.full(len(a), 2))
-            who, hash_, at_, kind = (np.concatenate(x) for x in (rows_text, rows_h, rows_place, rows_kind))
+        for keys, parts, words in _texts(batches):
+            text, h, code, size, place, p, light, at = prefixes(keys, parts, words)
+            single = (code > 1) & (place < p[text]) & (~light | (size * t.denominator >= boundary * t.numerator) | (size * t.numerator <= lone * t.denominator))[text]
+            who, hash_, at_, kind, length = text[single], h[single], place[single], np.where(light, 0, 1)[text[single]], code[single]
+            if again is not None:
+                first, second, both = _pairs_of(at, text, h)
+                slot = _pair_slots(both)
+                met = (again.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+                first, second, both = first[met], second[met], both[met]
+                parts_of = ((who, text[first]), (hash_, both), (at_, place[first]), (kind, np.full(len(first), 2)), (length, np.minimum(code[first], code[second])))
+                who, hash_, at_, kind, length = (np.concatenate(x) for x in parts_of)
             # size, then position, then kind (0 light, 1 heavy, 2 pair of a light set) in one number
             packed = (np.minimum(size[who], 1 << 30).astype(np.int64) << np.int64(32)) | (np.minimum(at_, (1 << 28) - 1).astype(np.int64) << np.int64(2)) | kind.astype(np.int64)
-            marks, maps = _as_long(np.array([keys[k] for k in new], np.uint64)), _bitmaps(text, h, len(new))
+            marks, maps = np.array(keys, np.int64), _bitmaps(text, h, len(keys))
+            row, hash_ = _gridded(hash_, np.exp2(length / 8.0), marks[who].view(np.uint64))
+            who, packed = who[row], packed[row]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_as_long(hash_), marks[who], packed, *maps[who].T)], names=names)
 
-    pairs = _candidate_pairs(rows.mapInArrow(lists, "h long, key long, place long, b1 long, b2 long, b3 long, b4 long"), t)
+    pairs = _candidate_pairs(texts.mapInArrow(lists, "h long, key long, place long, b1 long, b2 long, b3 long, b4 long"), t, partitions)
     release_shuffles(df.sparkSession)
 
-    def mark_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark_keys(batches: Iterator[pa.RecordBatch]) -> _Counter:
         sketch = _Counter(bits)
         for batch in batches:
             sketch.add(_mix(batch.column("key").to_numpy().view(np.uint64)))
-        for no, data in sketch.blocks():
-            yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32()), pa.array([data])], names=["block", "data"])
+        return sketch
 
     keys = pairs.select(F.col("key_a").alias("key")).union(pairs.select("key_b"))
-    wanted = context.broadcast(_merge_blocks(keys.mapInArrow(mark_keys, "block int, data binary"), bits) > 0)
+    wanted = context.broadcast(_merge_counters(keys.mapInArrow(_emitter(mark_keys), _BLOCKS), bits) > 0)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Size, wide bitmap and full set of the classes that are candidates (and of a few that only look like it)."""
-        reader = _Reader(width, least_words)
-        for _, keys, parts, lengths, hashes in reader.words(batches):
-            asked = _codes(wanted.value, _mix(np.array(keys, np.uint64)), bits)
-            at = [k for k in reader.new(keys) if asked[k]]
-            if at:
-                text, h = reader.shingles(*([x[k] for k in at] for x in (parts, lengths, hashes)))
-                ends = np.searchsorted(text, np.arange(1, len(at)))
-                found = [np.unique(x) for x in np.split(h, ends)]
+        for keys, parts, words in _texts(batches):
+            asked = np.flatnonzero(_codes(wanted.value, _mix(np.array(keys, np.int64).view(np.uint64)), bits))
+            if len(asked):
+                text, h = _shingles([parts[k] for k in asked], [words[k] for k in asked], width)
+                order = np.lexsort((h, text))
+                once = _once(text[order], h[order])
+                text, h = text[order][once], h[order][once]
+                found = np.split(h, np.searchsorted(text, np.arange(1, len(asked))))
                 maps = [_bitmaps(np.zeros(len(x), np.int64), x, 1, _map_width(len(x))).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_as_long(np.array([keys[k] for k in at], np.uint64))), pa.array([len(x) for x in found], pa.int32()), pa.array(maps), pa.array([_packed(x) for x in found])],
+                    [pa.array(np.array(keys, np.int64)[asked]), pa.array([len(x) for x in found], pa.int32()), pa.array(maps), pa.array([_packed(x) for x in found])],
                     names=["key", "n", "map", "s"],
                 )
 
-    full = cut_lineage(rows.mapInArrow(sets, "key long, n int, map binary, s binary").repartition("key").dropDuplicates(["key"]))
+    full = cut_lineage(texts.mapInArrow(sets, "key long, n int, map binary, s binary").repartition(partitions, "key").dropDuplicates(["key"]))
     release_shuffles(df.sparkSession)
     maps = lambda x: full.select(F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"m_{x}"))
     mapped = pairs.join(maps("a"), "key_a").join(maps("b"), "key_b").select("key_a", "key_b", "n_a", "n_b", "m_a", "m_b")
