@@ -49,3 +49,18 @@ def client_address(forwarded: Column, real: Column, peer: Column) -> Column:
     """The first forwarded address, else the real one, else the peer's; blanks count as missing."""
     first = F.nullif(F.trim(F.split(forwarded, ",")[0]), F.lit(""))
     return F.coalesce(first, F.nullif(F.trim(real), F.lit("")), peer)
+
+
+def made_id(prefix: str, key: Column) -> Column:
+    """``prefix_`` and 16 hex digits that depend on the key alone; null for null."""
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(key.cast("binary"), 256), 1, 16))
+
+
+def base64url(text: Column) -> Column:
+    """Base 64 with the signs that addresses allow, without padding."""
+    return F.regexp_replace(F.translate(F.regexp_replace(F.base64(text.cast("binary")), "[\r\n]", ""), "+/", "-_"), "=+$", "")
+
+
+def url_encoded(text: Column) -> Column:
+    """Percent encoding of all but letters, digits and ``-._~``; a blank is ``%20``."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

@@ -54,7 +54,8 @@ def sort_order(key: str = "timestamp", descending: bool = True) -> list[Column]:
 
 def tenant_stats(events: DataFrame, since: str) -> DataFrame:
     """Per tenant, of the events since a time: totals, successes, failures, distinct actors and resources."""
-    rows = clean_events(events).filter(F.col("timestamp") >= F.to_timestamp_ntz(F.lit(since)))
+    # repeats of an event are equal in these columns, so the filter can stand before their removal and reach the scan
+    rows = clean_events(events.filter(F.col("timestamp") >= F.to_timestamp_ntz(F.lit(since))).select("event_id", "tenant_id", "result", "actor_id", "resource_type", "resource_id"))
     resource = F.when(F.col("resource_id") != "", F.concat(F.coalesce("resource_type", F.lit("None")), F.lit(":"), "resource_id"))
     return rows.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("result") == "success").alias("successful"), F.count_if(F.col("result").isin("failure", "denied", "error")).alias("failed"),
@@ -64,19 +65,19 @@ def tenant_stats(events: DataFrame, since: str) -> DataFrame:
 
 def top_values(events: DataFrame, column: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent values; equal counts go by value; nulls don't count."""
-    counts = clean_events(events).filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = clean_events(events.filter(F.col(column).isNotNull()).select("event_id", column)).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "value").limit(k)
 
 
 def rollup_counts(events: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """Counts for every prefix of the dimensions (grouping sets of a roll-up); ``level`` tells which are summed over."""
-    return clean_events(events).rollup(*dimensions).agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"))
+    return clean_events(events.select("event_id", *dimensions)).rollup(*dimensions).agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"))
 
 
 def retained(events: DataFrame, now: str) -> DataFrame:
     """Events whose retention isn't over at ``now``: timestamp >= now - retention_days; null retention keeps for ever."""
     limit = F.to_timestamp_ntz(F.lit(now)) - F.make_dt_interval(F.col("retention_days"))
-    return clean_events(events).filter(F.col("retention_days").isNull() | (F.col("timestamp") >= limit))
+    return clean_events(events.filter(F.col("retention_days").isNull() | (F.col("timestamp") >= limit)))
 
 
 def newest_per(events: DataFrame, key: str, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.operators.chunking import fixed_size_chunks
 from brindle.operators.rag import context, embed
 from brindle.operators.vectors import nearest
-from brindle.plans import logs, sessions, stores, texts
+from brindle.plans import flows, logs, sessions, stores, texts
 from brindle.sources.tables import table
 
 
@@ -22,6 +22,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return context(ranked, "query_id")
 
 
-_PARTS = [texts, stores, logs, sessions]
+_PARTS = [texts, stores, logs, sessions, flows]
 QUERIES = {"flagship": flagship} | {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +36,21 @@ def append_log(events: DataFrame, path: str, checkpoint: str, time: str = "times
     return q
 
 
-def fan_out(events: DataFrame, sinks: list, checkpoint: str):
-    """Writes each micro-batch to all sinks (functions of a DataFrame and its number); the batch is read once."""
+def fan_out(events: DataFrame, sinks: list, checkpoint: str, failures: list | None = None):
+    """Writes each micro-batch to all sinks (functions of a DataFrame and its number); the batch is read once.
+
+    A sink that fails doesn't keep the others from their batch; ``failures`` takes (batch, sink, error) of each.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            for sink in sinks:
-                sink(batch, number)
+            for place, sink in enumerate(sinks):
+                try:
+                    sink(batch, number)
+                except Exception as e:
+                    if failures is not None:
+                        failures.append((number, place, f"{type(e).__name__}: {e}"))
         finally:
             batch.unpersist()
 
@@ -50,6 +59,43 @@ def fan_out(events: DataFrame, sinks: list, checkpoint: str):
     return q
 
 
+def json_log(events: DataFrame, path: str, checkpoint: str, most_rows: int = 100_000):
+    """Appends a stream as JSON lines, in files of at most ``most_rows``; exactly once by the checkpoint."""
+    q = events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", most_rows).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def log_sink(name: str, level: int = 20, most: int = 1_000):
+    """A sink for ``fan_out`` that writes up to ``most`` rows of a batch, and how many there are, to the Python log ``name``."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        logger = logging.getLogger(name)
+        if logger.isEnabledFor(level):
+            logger.log(level, "batch %d: %d rows", number, batch.count())
+            for line in batch.limit(most).toJSON().collect():
+                logger.log(level, line)
+
+    return sink
+
+
+def no_sink(batch: DataFrame, number: int) -> None:
+    """A sink that computes its batch and keeps nothing."""
+    batch.write.format("noop").mode("append").save()
+
+
+def event_stream_lines(kind, payload):
+    """One server-sent event: its data as JSON on one line and a blank line after it."""
+    return F.concat(F.lit("data: "), F.to_json(F.struct(kind.alias("event"), payload.alias("data"))), F.lit("\n\n"))
+
+
+def metrics_text(metrics: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """``line`` of each row in the text form of metrics: ``name{label="value",...} number``; quotes and line ends are escaped, nulls empty."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = [F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels]
+    return metrics.select(F.concat(F.lit(name + "{"), F.concat_ws(",", *pairs), F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all input there is and reads back what it wrote under ``path``."""
     spark = stream.sparkSession
