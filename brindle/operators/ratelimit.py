@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 
 
 def offered_load(events: DataFrame, key: str, time_us: str, window_us: int) -> DataFrame:
-    """``events`` with ``offered``: requests of the key in the window that ends with each, itself included."""
-    w = W.partitionBy(key).orderBy(time_us).rangeBetween(-window_us, 0)
-    return events.withColumn("offered", F.count(F.lit(1)).over(w))
+    """``events`` with ``offered``: requests of the key in the window that ends with each, itself included.
+
+    Time is cut into slices as long as the window; a request counts in its own slice and, as one of those before, in the
+    next. So a key with a third of all requests is spread over its slices. Rows without time have no window: null.
+    """
+    rows = events.withColumn("_slice", F.expr(f"{time_us} div {window_us}"))
+    carried = rows.filter(F.col(time_us).isNotNull()).withColumn("_slice", F.col("_slice") + 1).withColumn("_own", F.lit(False))
+    w = W.partitionBy(key, "_slice").orderBy(time_us).rangeBetween(-window_us, 0)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(carried).withColumn("offered", F.when(F.col(time_us).isNotNull(), F.count(F.lit(1)).over(w)))
+    return both.filter("_own").drop("_own", "_slice")
 
 
 def limit_requests(events: DataFrame, key: str, time_us: str, id_col: str, window_us: int, most: int) -> DataFrame:

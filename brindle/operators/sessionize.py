@@ -3,11 +3,13 @@
 Every event opens the interval ``[t, t + gap]``; intervals of one key that touch are one session. The merge runs in
 two levels, so that a key with a third of all events is spread over the cluster:
 
-1. events of one key *and one slice of time* are sorted, repeats of an event dropped, and merged into partial
-   sessions. A slice of ``slice`` length holds at most ``slice / gap + 1`` of them, however many events it has;
-2. the few partial sessions of a key are merged in order of time.
+1. repeats of an event in one key *and one slice of time* are dropped, then the intervals of the events are merged as
+   ``session_window`` state into partial sessions. A slice of ``slice`` length holds at most ``slice / gap + 1`` of them,
+   however many events it has;
+2. the few partial sessions of a key are merged as intervals in order of time.
 
-Both levels are Catalyst windows and hash aggregates; they sort on disk if they must and hold no group in memory.
+Both levels follow one shuffle each; they sort on disk if they must and hold no group in memory. In batch all events are
+there, so none is late; ``streaming.sessions`` merges the same intervals under a watermark.
 """
 
 from __future__ import annotations
@@ -51,13 +53,13 @@ def sessionize(
         cols.append(F.coalesce(event_type, F.lit("unknown")).alias("kind"))
     rows = events.select(*cols).filter("key is not null and t is not null").withColumn("slice", F.expr(f"t div {slice_us}"))
 
-    inside = W.partitionBy("key", "slice").orderBy("t", "id")
-    repeat = (F.lag("t").over(inside) == F.col("t")) & (F.lag("id").over(inside) == F.col("id"))
-    new = F.coalesce((F.col("t") - F.lag("t").over(inside) > gap_us).cast("int"), F.lit(0))
-    parts = rows.select(*rows.columns, new.alias("new"), F.coalesce(repeat, F.lit(False)).alias("repeat"))
-    parts = parts.withColumn("part", F.sum("new").over(inside)).filter(~F.col("repeat"))
-    by = ["key", "slice", "part"] + (["kind"] if event_type is not None else [])
-    parts = parts.groupBy(*by).agg(F.min("t").alias("s"), F.max("t").alias("e"), F.count(F.lit(1)).alias("n"))
+    # laid out once: repeats and intervals both need all rows of a key and slice together
+    rows = rows.repartition("key", "slice")
+    again = F.when(F.col("id").isNull(), F.count(F.lit(1))).otherwise(1)
+    kinds, apart = ([F.min("kind").alias("kind")], [F.when(F.col("id").isNull(), F.col("kind")).alias("apart")]) if event_type is not None else ([], [])
+    rows = rows.groupBy("key", "slice", "t", "id", *apart).agg(again.alias("n"), *kinds).withColumn("at", F.timestamp_micros("t"))
+    by = ["key", "slice"] + (["kind"] if event_type is not None else [])
+    parts = rows.groupBy(*by, F.session_window("at", f"{gap_us} microseconds")).agg(F.min("t").alias("s"), F.max("t").alias("e"), F.sum("n").alias("n"))
 
     # Parts of several types may overlap, hence the running end instead of the previous one.
     along = W.partitionBy("key").orderBy("s", "e")

@@ -11,7 +11,7 @@ from brindle.operators.jobs import counts_by_state, first_requests, work_order
 from brindle.operators.metastore import page
 from brindle.operators.ratelimit import limit_requests, offered_load
 from brindle.sources.tables import micros, table
-from brindle.streaming.events import deduplicated, run_to_table, windowed_counts
+from brindle.streaming.events import closed_stream, deduplicated, windowed_counts
 
 START, END, NOW = "2025-09-05 00:00:00", "2025-09-12 00:00:00", "2026-03-01 00:00:00"
 DAY_US = 86_400_000_000
@@ -66,11 +66,11 @@ def audit_storage_cap(spark, d):
 
 
 def audit_export_csv(spark, d):
-    return export_lines(table(spark, d, "audit_events").filter(matching(results=["denied", "error"])), "csv")
+    return export_lines(table(spark, d, "audit_events"), "csv")
 
 
 def audit_export_json(spark, d):
-    return export_lines(table(spark, d, "audit_events").filter(matching(results=["denied", "error"])), "json")
+    return export_lines(table(spark, d, "audit_events"), "json")
 
 
 def request_histogram(spark, d):
@@ -112,19 +112,27 @@ def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _audit_stream(spark, d):
+    return spark.readStream.schema(table(spark, d, "audit_events").schema).parquet(_as_folder(spark, d, "audit_events"))
+
+
+#: How late an audit event may come; the latest in the log comes three days after its time.
+LATENESS = "4 days"
+
+
 def stream_hourly_counts(spark, d):
-    """A stream over the whole table in one go; the watermark allows for all its lateness, and all windows are given."""
-    events = spark.readStream.schema(table(spark, d, "audit_events").schema).option("pathGlobFilter", "*").parquet(_as_folder(spark, d, "audit_events"))
-    keyed = deduplicated(events, "event_id", "timestamp", "3650 days")
-    counted = keyed.groupBy(F.window("timestamp", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    out = run_to_table(counted.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n"), _scratch(spark, "hourly"), "complete")
-    return out
+    """A stream over the whole table: repeats go, and a window is given once the watermark has passed its end."""
+    counted = closed_stream(
+        spark, _audit_stream(spark, d), "timestamp", _scratch(spark, "hourly"),
+        lambda e: deduplicated(e, "event_id", "timestamp", LATENESS).groupBy(F.window("timestamp", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")),
+    )
+    return counted.select(F.unix_micros("w.start").alias("start_us"), "event_type", "n")
 
 
 def stream_event_windows(spark, d):
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(_as_folder(spark, d, "events"))
-    counted = windowed_counts(events, "ts", ["event_type"], "6 hours", "2 hours", "3650 days")
-    return run_to_table(counted.select(F.unix_micros("window_start").alias("start_us"), "event_type", "n"), _scratch(spark, "windows"), "complete")
+    counted = closed_stream(spark, events, "ts", _scratch(spark, "windows"), lambda e: windowed_counts(e, "ts", ["event_type"], "6 hours", "2 hours", LATENESS))
+    return counted.select(F.unix_micros("window_start").alias("start_us"), "event_type", "n")
 
 
 def _as_folder(spark, d, name):
@@ -143,6 +151,10 @@ _CSV = " || ',' || ".join(
     f"'\"' || replace(coalesce({c}, ''), '\"', '\"\"') || '\"'"
     for c in ("event_id", "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%f')", "event_type", "result", "actor_id", "tenant_id", "action", "description")
 )
+_JSON = ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN '\"{n}\":' || CAST(to_json({c}) AS VARCHAR) END"
+    for n, c in [("event_id", "event_id"), ("timestamp", "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S.%f')"), *((x, x) for x in ("event_type", "result", "actor_id", "tenant_id", "action", "description"))]
+)
 SQL = {
     "audit_filter": f"""SELECT event_id, event_type, result, epoch_us("timestamp") AS t_us FROM ({_E}) WHERE event_type IN ('auth.login', 'auth.logout')
   AND result IN ('success', 'failure') AND "timestamp" BETWEEN '{START}' AND '{END}'""",
@@ -160,7 +172,13 @@ FROM ({_E}) WHERE "timestamp" >= '{START}' GROUP BY tenant_id""",
     "audit_retention": f"""SELECT event_id, CAST(retention_days AS BIGINT) AS retention_days FROM ({_E})
 WHERE retention_days IS NULL OR "timestamp" >= TIMESTAMP '{NOW}' - to_days(retention_days)""",
     "audit_storage_cap": f"""SELECT event_id, tenant_id, age FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY "timestamp" DESC NULLS LAST, event_id DESC) AS age FROM ({_E})) WHERE age <= 20""",
-    "audit_export_csv": f"SELECT event_id, {_CSV} AS line FROM ({_E}) WHERE result IN ('denied', 'error')",
+    "audit_export_csv": f"SELECT event_id, {_CSV} AS line FROM ({_E})",
+    "audit_export_json": f"SELECT event_id, '{{' || array_to_string(list_filter([{_JSON}], lambda x: x IS NOT NULL), ',') || '}}' AS line FROM ({_E})",
+    "rate_limit_exact": f"""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+l(user_id, event_id, i, taken, accepted) AS (SELECT user_id, event_id, i, [t], true FROM o WHERE i = 1
+UNION ALL SELECT o.user_id, o.event_id, o.i, CASE WHEN len(k) < 2 THEN list_append(k, o.t) ELSE k END, len(k) < 2
+FROM (SELECT l.user_id, l.i, list_filter(l.taken, lambda x: x >= n.t - {DAY_US}) AS k FROM l JOIN o n ON n.user_id IS NOT DISTINCT FROM l.user_id AND n.i = l.i + 1) b JOIN o ON o.user_id IS NOT DISTINCT FROM b.user_id AND o.i = b.i + 1)
+SELECT event_id, user_id, accepted FROM l""",
     "request_histogram": "SELECT event_type, total, le, n FROM (SELECT event_type, count(*) AS total, "
     + ", ".join(f"count(*) FILTER (value <= {b}) AS b{n}" for n, b in enumerate(BOUNDS)) + " FROM events GROUP BY event_type), LATERAL (VALUES "
     + ", ".join(f"(CAST({b} AS DOUBLE), b{n})" for n, b in enumerate(BOUNDS)) + ") v(le, n)",

@@ -28,8 +28,10 @@ knn_filtered_ops = _knn("cosine", {"$or": [{"label": {"$gte": 2, "$lt": 4}}, {"l
 
 
 def _flat(df):
-    """A vector as its first and last number, as results must be flat."""
-    return df.select("vec_id", F.col("embedding")[0].cast("double").alias("first"), F.element_at("embedding", -1).cast("double").alias("last"), F.col("label").cast("bigint").alias("label"))
+    """A vector as the sum of its numbers times their places, as results must be flat."""
+    placed = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(placed, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return df.select("vec_id", F.size("embedding").cast("bigint").alias("n"), F.round(total, 4).alias("checksum"), F.col("label").cast("bigint").alias("label"))
 
 
 def vec_upsert(spark, d):
@@ -125,7 +127,7 @@ _CITES = f"""c AS (SELECT id AS message_id, unnest(range(1, len(sources) + 1)) A
 t AS (SELECT message_id, rank, chunk_id, text FROM c LEFT JOIN (SELECT id, text FROM ({_V})) v ON v.id = chunk_id)"""
 _CONTEXT = """x AS (SELECT message_id, coalesce(string_agg('[Source ' || rank || ']: ' || text, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE text IS NOT NULL),
   'No relevant documents found.') AS context FROM t GROUP BY message_id)"""
-_FLAT = "vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last, CAST(label AS BIGINT) AS label"
+_FLAT = "vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 4) AS checksum, CAST(label AS BIGINT) AS label"
 
 
 def _words(x):

@@ -82,7 +82,7 @@ def text_spans(spark, d):
 def file_names(spark, d):
     rows = table(spark, d, "parsed_chunks").filter("source is not null").select("source").distinct()
     name = file_name(F.col("source"), F.lit(1))
-    return rows.select("source", extension(F.col("source")).alias("ext"), safe_name(F.substring_index("source", "/", -1)).alias("safe_name"), F.contains(name, F.lit(".")).alias("has_dot"))
+    return rows.select("source", extension(F.col("source")).alias("ext"), safe_name(F.substring_index("source", "/", -1)).alias("safe_name"), name.alias("name"))
 
 
 def checksums(spark, d):
@@ -93,18 +93,22 @@ def masked_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", masked_key(F.col("user_id")).alias("masked"))
 
 
+HEAD = '<html><head><meta name="author" content="The writer"><meta property="og:type" content="article"></head><nav>skip</nav><script>no()</script>'
+
+
 def _markup(spark, d):
-    """Pages put together from their parsed titles, headings and paragraphs, as an HTML source would give them."""
-    rows = table(spark, d, "parsed_chunks").filter("metadata['parser'] = 'html' and metadata['type'] in ('title', 'heading', 'paragraph') and text is not null").dropDuplicates(["chunk_id"])
-    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    tag = F.when(F.col("metadata")["type"] == "title", "title").when(F.col("metadata")["type"] == "heading", F.concat(F.lit("h"), F.coalesce(F.col("metadata")["level"], F.lit("2")))).otherwise("p")
-    part = F.struct("ordinal", "chunk_id", F.concat(F.lit("<"), tag, F.lit(">"), safe, F.lit("</"), tag, F.lit(">\n")).alias("html"))
+    """Pages put together from all their parsed elements with text, as an HTML source would give them."""
+    rows = table(spark, d, "parsed_chunks").filter("metadata['parser'] = 'html' and text is not null").dropDuplicates(["chunk_id"])
+    meta, escaped = lambda k: F.col("metadata")[k], lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    tag = F.when(meta("type") == "title", "title").when(meta("type") == "heading", F.concat(F.lit("h"), F.coalesce(meta("level"), F.lit("2")))).when(meta("type") == "link", "a").otherwise("p")
+    href = F.when((tag == "a") & meta("href").isNotNull(), F.concat(F.lit(' href="'), escaped(meta("href")), F.lit('"'))).otherwise("")
+    part = F.struct("ordinal", "chunk_id", F.concat(F.lit("<"), tag, href, F.lit(">"), escaped(F.col("text")), F.lit("</"), tag, F.lit(">\n")).alias("html"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["html"]), "")
-    return rows.groupBy("source").agg(F.concat(F.lit("<html><nav>skip</nav><script>no()</script>"), body, F.lit("</html>")).alias("html"))
+    return rows.filter("source is not null").groupBy("source").agg(F.concat(F.lit(HEAD), body, F.lit("</html>")).alias("html"))
 
 
 def html_elements(spark, d):
-    return parse_html(_markup(spark, d), "source", "html").select(F.col("id").alias("source"), "ordinal", "type", "level", "text", "span_start", "span_end")
+    return parse_html(_markup(spark, d), "source", "html").select(F.col("id").alias("source"), "ordinal", "type", "level", "href", "text", "span_start", "span_end")
 
 
 def html_plaintext(spark, d):
@@ -131,6 +135,7 @@ FROM (SELECT doc_id, text, unnest(range(0, {_n(size, overlap)})) AS i FROM docum
 
 _WORDS = f"list_filter(regexp_split_to_array(text, '[{WS}]+'), lambda x: x <> '')"
 _UNSAFE = "regexp_replace(regexp_replace(string_split(source, '/')[-1], '[<>:\"/\\\\|?*]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+_LAST = "CASE WHEN source LIKE '%://%' THEN string_split(regexp_extract(source, '://[^/?#]*([^?#]*)', 1), '/')[-1] ELSE string_split(source, '/')[-1] END"
 SQL = {
     "chunk_fixed_size": _fixed(1000, 100),
     "chunk_fixed_no_overlap": _fixed(500, 0),
@@ -152,6 +157,21 @@ SELECT chunk_id, CAST(a AS BIGINT) AS span_from, CAST(a + n AS BIGINT) AS span_t
     "checksums": "SELECT doc_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL",
     "masked_ids": "SELECT doc_id, CASE WHEN coalesce(user_id, '') = '' THEN '' WHEN length(user_id) <= 8 THEN '***' ELSE left(user_id, 4) || '***' || right(user_id, 4) END AS masked FROM documents",
     "file_names": f"""SELECT DISTINCT source, lower(regexp_extract(source, '(\\.[^./\\\\]+)$', 1)) AS ext, CASE WHEN {_UNSAFE} = '' THEN 'unnamed_file' ELSE {_UNSAFE} END AS safe_name,
-  CASE WHEN source LIKE '%://%' THEN contains(string_split(regexp_extract(source, '://[^/?#]*([^?#]*)', 1), '/')[-1], '.') ELSE contains(string_split(source, '/')[-1], '.') END AS has_dot
+  CASE WHEN contains(url_decode({_LAST}), '.') THEN url_decode({_LAST}) ELSE 'download_1' END AS name
 FROM parsed_chunks WHERE source IS NOT NULL""",
 }
+
+_ELEMENTS = f"""r AS (SELECT DISTINCT ON (chunk_id) source, ordinal, chunk_id, metadata['type'] AS kind, coalesce(TRY_CAST(metadata['level'] AS INT), 2) AS level, metadata['href'] AS href, text
+  FROM parsed_chunks WHERE metadata['parser'] = 'html' AND text IS NOT NULL AND source IS NOT NULL),
+x AS (SELECT source, ordinal, chunk_id, CASE WHEN kind IN ('title', 'heading', 'link') THEN kind ELSE 'paragraph' END AS type, level, href, text FROM r)"""
+SQL["html_elements"] = f"""WITH {_ELEMENTS},
+y AS (SELECT source, ordinal AS o, chunk_id AS c, type, CASE WHEN type = 'heading' THEN level END AS level, CASE WHEN type = 'link' THEN href END AS href,
+  CASE WHEN type = 'paragraph' THEN {strip_sql(f"regexp_replace(text, '[{WS}]+', ' ', 'g')")} ELSE {strip_sql('text')} END AS text,
+  CASE type WHEN 'title' THEN 0 WHEN 'heading' THEN level WHEN 'paragraph' THEN 10 ELSE 11 END AS place, row_number() OVER (PARTITION BY source, type ORDER BY ordinal NULLS FIRST, chunk_id) AS nth FROM x),
+z AS (SELECT source, o, c, type, level, href, text, place FROM y WHERE text <> '' AND (type <> 'title' OR nth = 1) AND (type <> 'link' OR href <> '')
+  UNION ALL SELECT DISTINCT source, 0, '', 'metadata', CAST(NULL AS INT), NULL, 'author: The writer' || chr(10) || 'og_type: article', 12 FROM x)
+SELECT source, CAST(row_number() OVER w - 1 AS INT) AS ordinal, type, level, href, text, CAST(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS span_start,
+  CAST(coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS BIGINT) AS span_end FROM z WINDOW w AS (PARTITION BY source ORDER BY place, o NULLS FIRST, c)"""
+SQL["html_plaintext"] = f"""WITH {_ELEMENTS}, j AS (SELECT source, string_agg({strip_sql('text')}, chr(10) ORDER BY ordinal NULLS FIRST, chunk_id) FILTER ({strip_sql('text')} <> '') AS t FROM x GROUP BY source),
+a AS (SELECT source, regexp_replace(regexp_replace(coalesce(t, ''), ' +', ' ', 'g'), '\\n[{WS}]*\\n[{WS}]*\\n+', chr(10) || chr(10), 'g') AS t FROM j)
+SELECT source, {strip_sql(f"array_to_string(list_transform(string_split(t, chr(10)), lambda x: {strip_sql('x')}), chr(10))")} AS text FROM a"""

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import ssl
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
-from urllib.parse import unquote, urlsplit
+from urllib.parse import unquote, urlencode, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Fetcher = Callable[[str], bytes]
@@ -21,10 +23,91 @@ def fetch_local(address: str) -> bytes:
     return Path(unquote(parts.path) if parts.scheme == "file" else address).read_bytes()
 
 
-def fetch_http(address: str, timeout: float = 30.0) -> bytes:
-    """Follows redirects; a status of 400 or more is an error."""
-    with urllib.request.urlopen(address, timeout=timeout) as r:
-        return r.read()
+#: Methods that may be repeated, and statuses after which it helps.
+REPEATABLE, PASSING = ("GET", "HEAD", "OPTIONS"), (429, 500, 502, 503, 504)
+
+
+@dataclass(frozen=True)
+class HttpFetcher:
+    """Requests of one kind; as a fetcher, its body for an address. Redirects are followed; a status of 400 or more is an error.
+
+    ``most_wait`` seconds bound the repeats of a request that failed in passing; methods that change something are repeated
+    only with ``repeat_all``. ``token`` gives the current bearer token.
+    """
+
+    method: str = "GET"
+    headers: tuple[tuple[str, str], ...] = ()
+    params: tuple[tuple[str, str], ...] = ()
+    body: bytes | None = None
+    timeout: float = 30.0
+    token: Callable[[], str] | None = None
+    repeat_all: bool = False
+    most_wait: float = 60.0
+    verify: bool = True
+
+    def __call__(self, address: str) -> bytes:
+        if self.params:
+            address += ("&" if "?" in address else "?") + urlencode(self.params)
+        headers = {**dict(self.headers), **({"Authorization": f"Bearer {self.token()}"} if self.token else {})}
+        request = urllib.request.Request(address, data=self.body, headers=headers, method=self.method)
+        context = None if self.verify or not address.startswith("https:") else ssl._create_unverified_context()
+        waited, pause = 0.0, 0.5
+        while True:
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout, context=context) as r:
+                    return r.read()
+            except OSError as e:  # all that urllib raises, statuses included
+                passing = getattr(e, "code", 503) in PASSING and (self.repeat_all or self.method in REPEATABLE)
+                if not passing or waited + pause > self.most_wait:
+                    raise
+                time.sleep(pause)
+                waited, pause = waited + pause, pause * 2
+
+
+class CachedToken:
+    """The token that ``ask`` gives with its seconds of life, asked for again a minute before its end."""
+
+    def __init__(self, ask: Callable[[], tuple[str, float]], clock: Callable[[], float] = time.time, early: float = 60.0):
+        self.ask, self.clock, self.early = ask, clock, early
+        self.token, self.end = None, 0.0
+
+    def __call__(self) -> str:
+        if self.token is None or self.clock() >= self.end - self.early:
+            self.token, life = self.ask()
+            self.end = self.clock() + life
+        return self.token
+
+
+#: One request; the attempts are those of ``fetch``.
+fetch_http = HttpFetcher(most_wait=0.0)
+
+
+def fetch_hadoop(spark: SparkSession, address: str) -> bytes:
+    """A file of any system that Hadoop knows (``s3a:``, ``hdfs:``, …), read on the driver; tables of them are read by ``files.read_files``."""
+    return spark.read.format("binaryFile").load(address).first().content
+
+
+def copy_files(spark: SparkSession, pairs: list[tuple[str, str]], move: bool = False) -> list[tuple[str, str, str | None]]:
+    """(from, to, error) of each file or folder that Hadoop copied or moved; a target that exists is an error, and none is overwritten."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for source, target in pairs:
+        a, b = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+        try:
+            if b.getFileSystem(conf).exists(b):
+                raise ValueError("the target exists")
+            done = jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, move, conf)
+            out.append((source, target, None if done else "not copied"))
+        except Exception as e:
+            out.append((source, target, str(e).splitlines()[0]))
+    return out
+
+
+def attempt_events(fetched: DataFrame) -> DataFrame:
+    """``source_id, attempt, event_type, result``: a row per attempt of ``fetch``: all but the last failed, the last as the source did."""
+    rows = fetched.filter("attempts > 0").select("source_id", "success", "attempts", F.explode(F.sequence(F.lit(1), F.col("attempts"))).alias("attempt"))
+    good = (F.col("attempt") == F.col("attempts")) & F.col("success")
+    kind = F.when(good, "download.success").when(F.col("attempt") < F.col("attempts"), "download.retry").otherwise("download.failure")
+    return rows.select("source_id", "attempt", kind.alias("event_type"), F.when(good, "success").otherwise("failure").alias("result"))
 
 
 FETCHERS: dict[str, Fetcher] = {"local": fetch_local, "http": fetch_http, "ftp": fetch_http}

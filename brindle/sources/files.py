@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from brindle.functions.files import extension
 from brindle.functions.text import strip
 from brindle.sources.html import page_rows
 
-ENCODINGS = ("utf-8", "latin-1")
+ENCODINGS = ("utf-8", "latin-1", "cp1252")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SPANS = "path string, ordinal int, type string, level int, href string, text string, span_start long, span_end long"
 
@@ -52,6 +53,13 @@ def docx_rows(content: bytes) -> list[tuple]:
     return [r for r in rows if r[3]]
 
 
+def json_rows(content: bytes) -> list[tuple]:
+    """A list gives a span per element, anything else one span; strings as they are, the rest as JSON with sorted keys."""
+    whole = json.loads(decode(content))
+    text = lambda x: x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, sort_keys=True)
+    return [("json", None, None, text(x)) for x in (whole if isinstance(whole, list) else [whole]) if text(x)]
+
+
 @dataclass(frozen=True)
 class Parser:
     name: str
@@ -59,6 +67,8 @@ class Parser:
     rows: Callable[[bytes], list[tuple]]
     #: Signs between two texts in the offsets.
     gap: int = 0
+    #: A content that the parser must read, for health checks.
+    sample: bytes = b"<p>test</p>"
 
 
 @dataclass
@@ -85,15 +95,34 @@ class Registry:
         key = self._key(ext)
         return next((p for p in self.parsers.values() if key in map(self._key, p.extensions)), None)
 
+    def health(self) -> dict[str, bool]:
+        """Whether each parser reads its sample; one that raises isn't healthy."""
+
+        def reads(p: Parser) -> bool:
+            try:
+                return len(p.rows(p.sample)) > 0
+            except Exception:
+                return False
+
+        return {name: reads(p) for name, p in self.parsers.items()}
+
     def extensions(self) -> list[str]:
         return sorted(self._key(e) for p in self.parsers.values() for e in p.extensions)
 
 
+def _sample_docx() -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{_W[1:-1]}"><w:body><w:p><w:t>test</w:t></w:p></w:body></w:document>')
+    return out.getvalue()
+
+
 def default_registry() -> Registry:
     r = Registry()
     r.register(Parser("text", (".txt", ".md", ".csv", ".log"), text_rows))
     r.register(Parser("html", (".html", ".htm"), html_rows, gap=1))
-    r.register(Parser("docx", (".docx",), docx_rows))
+    r.register(Parser("docx", (".docx",), docx_rows, sample=_sample_docx()))
+    r.register(Parser("json", (".json",), json_rows, sample=b"[1]"))
     return r
 
 
@@ -137,3 +166,19 @@ def text_paragraphs(files: DataFrame) -> DataFrame:
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
     rows = files.select("path", F.posexplode(F.split(text, "\n\n")).alias("ordinal", "text"))
     return rows.select("path", "ordinal", strip("text").alias("text")).filter("text <> ''")
+
+
+def uploads(rows: DataFrame, name: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """``path, content`` of files sent as base 64, and ``path, error`` of those that can't be decoded or have no name."""
+    read = rows.select(F.col(name).alias("path"), F.try_to_binary(F.col(content), F.lit("base64")).alias("content"))
+    good = F.col("path").isNotNull() & F.col("content").isNotNull()
+    return read.filter(good), read.filter(~good).select("path", F.when(F.col("path").isNull(), "no name").otherwise("not base 64").alias("error"))
+
+
+def download_tasks(spark: SparkSession, path: str, known: tuple[str, ...] = ("http", "ftp", "local", "s3", "sftp")) -> tuple[DataFrame, DataFrame]:
+    """``source_id, source_type, address`` of JSON files that hold lists of ``{id, type, source}``, and the entries of an unknown type."""
+    rows = spark.read.schema("id string, type string, source string").option("multiLine", True).json(path)
+    tasks = rows.select("id", F.lower("type").alias("source_type"), F.col("source").alias("address"))
+    tasks = tasks.select(F.coalesce("id", F.concat(F.lit("source_"), F.substring(F.sha2(F.col("address"), 256), 1, 16))).alias("source_id"), "source_type", "address")
+    good = F.coalesce(F.col("source_type").isin(*known), F.lit(False)) & F.col("address").isNotNull()
+    return tasks.filter(good), tasks.filter(~good)

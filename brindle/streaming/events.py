@@ -109,3 +109,30 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+#: The time of the row that closes a stream.
+CLOSING = "2999-01-01 00:00:00"
+
+
+def closed_stream(spark: SparkSession, events: DataFrame, time: str, path: str, plan) -> DataFrame:
+    """Runs ``plan`` (a function of a stream with a watermark) over all input there is and gives everything it would ever emit.
+
+    In append mode what is younger than the watermark stays in the state. So when the input is read, a closing row, all
+    null but for a time far ahead, comes as a second source of the same query: it moves the watermark past all events. What
+    is made of that row itself is never emitted, as no watermark passes it. ``plan`` must not filter it out.
+    """
+    end, kinds = f"{path}/end", events.schema
+    spark.createDataFrame([], kinds).write.parquet(end)
+    closing = spark.readStream.schema(kinds).parquet(end)
+    stream = plan(events.union(closing))
+
+    def run() -> None:
+        q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    row = spark.range(1).select(*[(F.lit(CLOSING) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields])
+    row.write.mode("append").parquet(end)
+    run()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")

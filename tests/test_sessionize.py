@@ -85,3 +85,21 @@ def test_stream_keeps_a_pause_of_exactly_the_gap(spark, tmp_path):
     q = stream_sessions(stream, F.col("k"), F.col("ts"), F.col("id")).writeStream.format("memory").queryName("exact_gap").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.key, r.n_events) for r in spark.table("exact_gap").collect()) == [("a", 2), ("b", 1), ("b", 1)]
+
+
+def test_a_late_event_bridges_two_sessions_and_one_too_late_does_not(spark, tmp_path):
+    minute = lambda n: f"2024-01-01 {10 + n // 60:02}:{n % 60:02}:00"
+    # each batch a file: two sessions 50 minutes apart, the event between them 40 minutes late, then one after the watermark
+    batches = [[("a", minute(0), "1"), ("b", minute(0), "2")], [("a", minute(50), "3"), ("b", minute(50), "4")], [("a", minute(25), "5"), ("a", minute(0), "1")], [("z", minute(400), "6")], [("z", minute(401), "9")], [("b", minute(25), "7")], [("z", minute(800), "8")]]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "k string, ts string, id string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/n={n}"))
+    stream = spark.readStream.schema("k string, ts timestamp, id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_sessions(stream, F.col("k"), F.col("ts"), F.col("id"), lateness="1 hour").writeStream.format("memory").queryName("bridge").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.key, r.n_events) for r in spark.table("bridge").collect() if r.key != "z") == [("a", 3), ("b", 1), ("b", 1)]
+
+
+def test_rows_without_id_keep_their_types(spark):
+    rows = [("a", 5, None, "x"), ("a", 5, None, "y"), ("a", 5, None, "y"), ("a", 5, "e", "y"), ("a", 5, "e", "y")]
+    assert run(spark, rows) == plain(rows) == [("a", 5, 5, 4, (("x", 1), ("y", 3)))]
