@@ -5,9 +5,9 @@ components (alternating large-star and small-star joins) are conversations, whic
 any of their messages carries, else a name made of the smallest message id. Then every conversation is put in order
 and checked.
 
-The check is a fold of segments. The rows of one conversation and day make a segment (count, first and last role,
+The check is a fold of segments. The rows of one conversation and hour make a segment (count, first and last role,
 flaw or none), and segments are joined in order of time, so that a session with a third of all rows is spread over
-days instead of going through one task.
+hours instead of going through one task. Rows without a time, which are flawed anyhow, are spread by their content.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from brindle.functions.text import WS, strip
 from brindle.llm.components import connected_components
 from brindle.sources.tables import micros
 
-DAY_US = 86_400_000_000
+SLICE_US = 3_600_000_000
+#: Slices of the rows of a conversation that have no time, below all others.
+TIMELESS, NO_ROWS = 256, -(1 << 40)
 
 
 def links_in_metadata(messages: DataFrame, keys: tuple[str, ...] = ("reply_to", "quoted_id", "quote_of", "in_reply_to")) -> DataFrame:
@@ -51,7 +53,8 @@ def _turn_rows(messages: DataFrame) -> DataFrame:
         "conversation_id", F.col("role").alias("raw_role"), role.alias("role"), F.col("content"), F.md5("content").alias("mark"),
         micros("timestamp").alias("t"), visible.alias("visible"),
     )
-    rows = rows.withColumn("slice", F.expr(f"coalesce(t div {DAY_US}, -1)"))
+    spread = F.pmod(F.xxhash64("raw_role", "mark"), F.lit(TIMELESS)) - (1 << 39)
+    rows = rows.withColumn("slice", F.coalesce(F.expr(f"t div {SLICE_US}"), spread))
     rank = F.when(F.col("role") == "user", 0).otherwise(1)
     w = W.partitionBy("conversation_id", "slice").orderBy("t", rank, "raw_role", "mark")
     same = F.lit(True)
@@ -84,10 +87,9 @@ def judge_conversations(messages: DataFrame, known_ids: DataFrame | None = None,
 
 
 def _fold(segments: DataFrame, known_ids: DataFrame | None) -> DataFrame:
-    # slice -1 holds rows without a time: they are flawed anyhow
     if known_ids is not None:
         ids = known_ids.select(F.col(known_ids.columns[0]).alias("conversation_id")).filter("conversation_id is not null").distinct()
-        segments = segments.unionByName(ids.select("conversation_id", F.lit(-2).cast("bigint").alias("slice"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("flaw"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")))
+        segments = segments.unionByName(ids.select("conversation_id", F.lit(NO_ROWS).cast("bigint").alias("slice"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("flaw"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")))
     w = W.partitionBy("conversation_id").orderBy("slice")
     joint = F.coalesce(F.lag("last").over(w) == F.col("first"), F.lit(False))
     folded = segments.withColumn("flaw", F.col("flaw") | joint).groupBy("conversation_id").agg(
