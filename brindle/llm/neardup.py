@@ -29,6 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,8 +46,12 @@ BLOCK = 1 << 16
 PACKED = 5
 #: Slots of the table that tells which pairs occur again: two bits each, whatever the collection.
 PAIR_BITS = 24
+#: Pairs of shingles that light sets may have in all: half of the table, so that few fall on one slot by chance.
+MOST_PAIRS = 1 << (PAIR_BITS - 1)
 #: Postings of a list that are joined as one block, by its count.
 GRID = 4_096
+#: Pairs that a task holds at once, of shingles as of candidates, and rows that it gives at once.
+HELD, GIVEN = 500_000, 100_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -135,7 +140,7 @@ class _Twice:
     """Whether a hash was met never, once or more often, in one table of fixed size; gives the blocks that aren't empty."""
 
     def __init__(self):
-        self.table = np.zeros(1 << PAIR_BITS, np.uint32)
+        self.table = np.zeros(1 << PAIR_BITS, np.uint8)
 
     def add(self, h: np.ndarray) -> None:
         at, n = np.unique(_pair_slots(h), return_counts=True)
@@ -235,6 +240,19 @@ def choose_boundary(list_length: float, t: Fraction, pair_cost: float = 1.5) ->
     return size
 
 
+def bounded_by_pairs(boundary: int, sets: dict[int, int], t: Fraction, most: int = MOST_PAIRS) -> int:
+    """The boundary, lowered so far that light sets have at most ``most`` pairs; ``sets``: how many there are, by size.
+
+    In a full table every pair seems to occur again, and all of them, by the square of the prefix, would be listed.
+    """
+    for size in sorted(sets):
+        p = max(0, _prefix_length(size, t))
+        most -= sets[size] * (p + 1) * p // 2
+        if most < 0:
+            return max(0, min(boundary, size - 1))
+    return boundary
+
+
 def expected_list(table: np.ndarray, t: Fraction) -> float:
     """The mean length of the lists that prefixes meet, by the counts of all shingles.
 
@@ -259,19 +277,23 @@ def _ordered(codes: np.ndarray, parts: list[int], words: list[np.ndarray], width
     return text[once], h[once], code[once]
 
 
-def _pairs_of(at: np.ndarray, text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place, second place, hash) of all pairs of the places ``at`` within each text, by the number of places."""
-    starts = np.flatnonzero(_once(text[at])) if len(at) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(at)))
-    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for n in np.flatnonzero(np.bincount(sizes)) if len(sizes) else ():
-        a, b = np.triu_indices(n, 1)
-        own = at[starts[sizes == n][:, None] + np.arange(n)]
-        first.append(own[:, a].reshape(-1))
-        second.append(own[:, b].reshape(-1))
-    first, second = np.concatenate(first), np.concatenate(second)
-    with np.errstate(over="ignore"):
-        return first, second, _mix(_mix(h[first]) + h[second])
+def _expanded(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, later row): each row with each of the ``counts`` rows that follow it, in slices of about ``HELD``."""
+    ends, start = np.cumsum(counts), 0
+    while start < len(counts):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - counts[start] + HELD, "right")))
+        n = counts[start:stop]
+        row = np.repeat(np.arange(start, stop), n)
+        yield row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + row + 1
+        start = stop
+
+
+def _pairs_of(at: np.ndarray, text: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first place, second place, hash) of all pairs of the places ``at`` within each text, in slices of about ``HELD``."""
+    own = text[at]
+    for first, second in _expanded(np.searchsorted(own, own, "right") - np.arange(len(own)) - 1):
+        with np.errstate(over="ignore"):
+            yield at[first], at[second], _mix(_mix(h[at[first]]) + h[at[second]])
 
 
 def _gridded(h: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,23 +337,51 @@ def _map_distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def _near_in_lists(h: np.ndarray, key: np.ndarray, place: np.ndarray, maps: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(smaller key, larger key) within the lists of sorted postings that the filters on size, position and bitmap leave."""
+    num, den = t.numerator, t.denominator
+    no = np.cumsum(_once(h)) << np.int64(32)
+    size, kind = place >> np.int64(32), place & 3
+    # a pair's place says nothing on what else is shared
+    rest = np.where(kind == 2, size, size - (place >> np.int64(2) & (1 << 28) - 1))
+    last = np.searchsorted(no | size, no | np.minimum(size * den // num, (1 << 32) - 1), "right")
+    for a, b in _expanded(last - np.arange(len(h)) - 1):
+        # pairs of light sets meet pairs only; two single shingles count unless both sets are light
+        keep = ((kind[a] ^ kind[b]) & 2 == 0) & (kind[a] | kind[b] != 0) & (key[a] != key[b])
+        both = size[a] + size[b]
+        keep = np.flatnonzero(keep & ((num + den) * np.minimum(rest[a], rest[b]) >= num * both))
+        a, b, both = a[keep], b[keep], both[keep]
+        keep = (num + den) * (both - np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)) >= 2 * num * both
+        a, b = key[a[keep]], key[b[keep]]
+        if len(a):
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
 def _candidate_pairs(postings: DataFrame, t: Fraction, partitions: int) -> DataFrame:
     """Scans the inverted lists; ``key_a, key_b`` of the pairs that the filters on size, position and bitmap leave."""
-    postings = postings.repartition(partitions, "h").dropDuplicates(["h", "key"])
-    side = lambda x: postings.select(F.col("h"), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "place", "b1", "b2", "b3", "b4")])
-    num, den = t.numerator, t.denominator
-    size = lambda x: f"shiftright(place_{x}, 32)"
-    rest = lambda x: f"({size(x)} - (shiftright(place_{x}, 2) & 268435455))"
-    needed = f"({num} * ({size('a')} + {size('b')}))"
-    pairs = side("a").join(side("b"), "h").filter("key_a < key_b").filter(
-        # pairs of light sets meet pairs only; two single shingles count unless both sets are light. (Not written as an
-        # equality of the sides: that would become a join key and cost another shuffle.)
-        "((place_a ^ place_b) & 2) = 0 and (place_a | place_b) & 3 <> 0"
-        f" and {num} * {size('a')} <= {den} * {size('b')} and {num} * {size('b')} <= {den} * {size('a')}"
-        f" and (place_a & 3 = 2 or {num + den} * least({rest('a')}, {rest('b')}) >= {needed})"
-        f" and {num + den} * ({size('a')} + {size('b')} - {' - '.join(f'bit_count(b{x}_a ^ b{x}_b)' for x in (1, 2, 3, 4))}) >= 2 * {needed}"
-    )
-    return cut_lineage(pairs.select("key_a", "key_b").distinct())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            h, key, place, *maps = columns
+            for a, b in _near_in_lists(h, key, place, np.stack(maps, 1).view(np.uint64), t):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["key_a", "key_b"])
+
+        for batch in batches:
+            held.append([x.to_numpy() for x in batch.columns])
+            rows += batch.num_rows
+            if rows >= GIVEN:
+                columns = [np.concatenate(x) for x in zip(*held)]
+                whole = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
+                yield from pairs([x[:whole] for x in columns])
+                held, rows = [[x[whole:] for x in columns]], rows - whole
+        if held:
+            yield from pairs([np.concatenate(x) for x in zip(*held)])
+
+    # a place begins with the size, so a list comes in the order of size
+    listed = postings.repartition(partitions, "h").sortWithinPartitions("h", "place")
+    return cut_lineage(listed.mapInArrow(scan, "key_a long, key_b long").distinct())
 
 
 def near_duplicates(
@@ -357,10 +407,9 @@ def near_duplicates(
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per text; its words go with the first text of a class that the task remembers."""
-        known, seen, sketch = _Words(), set(), _Counter(bits)
-        names, types = ["block", "task", "data", "key", "part", "id", "words"], [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.binary()]
+        known, seen = _Words(), set()
         for batch in batches:
-            keys, parts, ids, data, fresh = [], [], [], [], []
+            keys, parts, ids, data = [], [], [], []
             for p, key, text in zip(*(batch.column(c).to_pylist() for c in ("part", "id", "text"))):
                 words = WORD.findall(text.lower())
                 if len(words) < least_words:
@@ -368,37 +417,48 @@ def near_duplicates(
                 h = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
                 mark = xxhash.xxh3_64_intdigest(h.data, seed=p % (1 << 32))
                 new = mark not in seen
-                if new:
-                    if len(seen) < 200_000:
-                        seen.add(mark)
-                    fresh.append((p, h))
+                if new and len(seen) < 200_000:
+                    seen.add(mark)
                 for column, x in zip((keys, parts, ids, data), (mark, p, key, h.tobytes() if new else None)):
                     column.append(x)
-            while fresh:
-                block, held = [], 0
-                while fresh and held < 500_000:
-                    block.append(fresh.pop())
-                    held += len(block[-1][1])
-                text, h = _shingles([p for p, _ in block], [w for _, w in block], width)
+            columns = [_as_long(np.array(keys, np.uint64)), parts, ids, data]
+            yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(columns, types[3:])], names=names[3:])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted rows, the first of a class keeps its words, whatever tasks have read others; its shingles are counted."""
+        sketch, last = _Counter(bits), None
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            first = _once(key)
+            first[:1] = key[:1] != last
+            last, first = key[-1] if len(key) else last, pa.array(first)
+            for _, parts, words in _texts(iter([batch.filter(first)])):
+                text, h = _shingles(parts, words, width)
                 order = np.lexsort((h, text))
                 text, h = text[order], h[order]
                 sketch.add(h[_once(text, h)])
-            none = [None] * len(keys)
-            columns = [none, none, none, _as_long(np.array(keys, np.uint64)), parts, ids, data]
-            yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(columns, types)], names=names)
+            none = [pa.nulls(len(key), ty) for ty in types[:3]]
+            words = pc.if_else(first, batch.column("words"), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*none, *(batch.column(c) for c in names[3:6]), words], names=names)
         task = TaskContext.get().partitionId()
         for no, block in sketch.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([x], ty) for x, ty in zip((no, task, block, None, None, None, None), types)], names=names)
 
-    table = written(rows.mapInArrow(read, _BLOCKS + ", key long, part int, id string, words binary"))
+    names, types = ["block", "task", "data", "key", "part", "id", "words"], [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.binary()]
+    shape = "key long, part int, id string, words binary"
+    classed = rows.mapInArrow(read, shape).repartition("key").sortWithinPartitions("key", F.col("words").isNull())
+    table = written(classed.mapInArrow(count, f"{_BLOCKS}, {shape}"))
+    del classed
+    release_shuffles(df.sparkSession)
     members = table.filter("key is not null").select("key", "id").distinct()
     texts = table.filter("words is not null").select("key", "part", "words")
     # so many postings that a partition of them stays small, whatever the session's number of partitions
-    n_words = texts.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_words // 4 // 600_000)
+    n = F.expr("octet_length(words) div 4")
+    lengths = texts.groupBy(F.least(n, F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("texts"), F.sum(n).alias("words")).collect()
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(r.words for r in lengths) // 600_000)
     counted = _merge_counters(table.filter("block is not null").select("block", "task", "data"), bits)
     if boundary is None:
-        boundary = choose_boundary(expected_list(counted, t), t)
+        boundary = bounded_by_pairs(choose_boundary(expected_list(counted, t), t), {r.n - width + 1: r.texts for r in lengths}, t)
     lone = t.denominator // t.numerator  # up to this size one shared shingle may be enough, so pairs would miss it
     sent = context.broadcast(counted)
 
@@ -416,7 +476,8 @@ def near_duplicates(
         out = _Twice()
         for keys, parts, words in _texts(batches):
             text, h, *_, at = prefixes(keys, parts, words)
-            out.add(_pairs_of(at, text, h)[2])
+            for *_, both in _pairs_of(at, text, h):
+                out.add(both)
         return out
 
     again = None
@@ -427,21 +488,23 @@ def near_duplicates(
         names = ["h", "key", "place", "b1", "b2", "b3", "b4"]
         for keys, parts, words in _texts(batches):
             text, h, code, size, place, p, light, at = prefixes(keys, parts, words)
+            marks, maps = np.array(keys, np.int64), _bitmaps(text, h, len(keys))
+
+            def rows(who: np.ndarray, hash_: np.ndarray, at_: np.ndarray, kind: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+                # size, then position, then kind (0 light, 1 heavy, 2 pair of a light set) in one number
+                packed = (np.minimum(size[who], 1 << 30).astype(np.int64) << np.int64(32)) | (np.minimum(at_, (1 << 28) - 1).astype(np.int64) << np.int64(2)) | kind.astype(np.int64)
+                row, hash_ = _gridded(hash_, np.exp2(length / 8.0), marks[who].view(np.uint64))
+                for k in range(0, len(row), GIVEN):
+                    r = row[k : k + GIVEN]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_as_long(hash_[k : k + GIVEN]), marks[who[r]], packed[r], *maps[who[r]].T)], names=names)
+
             single = (code > 1) & (place < p[text]) & (~light | (size * t.denominator >= boundary * t.numerator) | (size * t.numerator <= lone * t.denominator))[text]
-            who, hash_, at_, kind, length = text[single], h[single], place[single], np.where(light, 0, 1)[text[single]], code[single]
-            if again is not None:
-                first, second, both = _pairs_of(at, text, h)
+            yield from rows(text[single], h[single], place[single], np.where(light, 0, 1)[text[single]], code[single])
+            for first, second, both in _pairs_of(at, text, h) if again is not None else ():
                 slot = _pair_slots(both)
                 met = (again.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
                 first, second, both = first[met], second[met], both[met]
-                parts_of = ((who, text[first]), (hash_, both), (at_, place[first]), (kind, np.full(len(first), 2)), (length, np.minimum(code[first], code[second])))
-                who, hash_, at_, kind, length = (np.concatenate(x) for x in parts_of)
-            # size, then position, then kind (0 light, 1 heavy, 2 pair of a light set) in one number
-            packed = (np.minimum(size[who], 1 << 30).astype(np.int64) << np.int64(32)) | (np.minimum(at_, (1 << 28) - 1).astype(np.int64) << np.int64(2)) | kind.astype(np.int64)
-            marks, maps = np.array(keys, np.int64), _bitmaps(text, h, len(keys))
-            row, hash_ = _gridded(hash_, np.exp2(length / 8.0), marks[who].view(np.uint64))
-            who, packed = who[row], packed[row]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_as_long(hash_), marks[who], packed, *maps[who].T)], names=names)
+                yield from rows(text[first], both, place[first], np.full(len(first), 2), np.minimum(code[first], code[second]))
 
     pairs = _candidate_pairs(texts.mapInArrow(lists, "h long, key long, place long, b1 long, b2 long, b3 long, b4 long"), t, partitions)
     release_shuffles(df.sparkSession)

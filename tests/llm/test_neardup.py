@@ -94,3 +94,38 @@ def test_sets_that_need_one_shared_shingle(spark, similarity, boundary):
     df = spark.createDataFrame(rows, "part int, id string, text string")
     found = {(r.id_a, r.id_b) for r in duplicate_pairs(*near_duplicates(df, "id", "text", "part", similarity, 3, 30, boundary=boundary, bits=14)).collect()}
     assert ("one30", "one31") in found and found == plain(rows, similarity, 3, 30)
+
+
+def test_pairs_come_in_slices():
+    import numpy as np
+
+    from brindle.llm.neardup import HELD, _pairs_of
+
+    at = np.arange(4000)
+    slices = list(_pairs_of(at, at // 1000, at.astype(np.uint64)))
+    assert max(len(h) for *_, h in slices) <= HELD + 1000
+    first, second = (np.concatenate([x[k] for x in slices]) for k in (0, 1))
+    assert len(first) == 4 * 999 * 500 and len(np.unique(first * 4000 + second)) == len(first)
+    assert (first < second).all() and (first // 1000 == second // 1000).all()
+
+
+def test_light_sets_fit_the_table_of_pairs():
+    from brindle.llm.neardup import MOST_PAIRS, bounded_by_pairs
+
+    t = Fraction("0.6")
+    assert bounded_by_pairs(300, {28: 10_000, 100: 2_000, 400: 10**9}, t) == 300  # sets above the boundary don't matter
+    assert bounded_by_pairs(300, {28: 10_000, 100: 20_000_000}, t) == 99
+    assert bounded_by_pairs(300, {1: 5, 28: MOST_PAIRS}, t) == 27
+
+
+def test_a_text_that_many_tasks_read_is_listed_once(spark, monkeypatch):
+    from brindle.llm import neardup
+
+    listed, real = [], neardup._candidate_pairs
+    monkeypatch.setattr(neardup, "_candidate_pairs", lambda postings, *rest: (listed.append(postings.count()), real(postings, *rest))[1])
+    texts = [" ".join(f"w{n + k}" for n in range(40)) for k in range(0, 40, 4)]
+    for copies in (1, 8):
+        df = spark.createDataFrame([(f"{n}_{c}", x) for c in range(copies) for n, x in enumerate(texts)], "id string, text string").repartition(copies)
+        members, links = neardup.near_duplicates(df, "id", "text", None, "0.6", 3, 30, boundary=0, bits=14)
+        assert members.count() == copies * len(texts) and links.count() == 17
+    assert listed[0] == listed[1] > 0
