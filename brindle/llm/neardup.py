@@ -22,6 +22,7 @@ can't be shared. Texts are read once, into 32-bit hashes of their words, which a
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -52,6 +53,9 @@ MOST_PAIRS = 1 << (PAIR_BITS - 1)
 GRID = 4_096
 #: Pairs that a task holds at once, of shingles as of candidates, and rows that it gives at once.
 HELD, GIVEN = 500_000, 100_000
+#: Words whose lists are made in one pass, and candidates that meet their wide bitmaps in one; more take more passes, so
+#: that the disk doesn't hold all of them at once.
+PASS_WORDS, PASS_PAIRS, MOST_PASSES = 60_000_000, 4_000_000, 64
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -315,6 +319,11 @@ def _bitmaps(text: np.ndarray, s: np.ndarray, n: int, width: int = 256) -> np.nd
     return np.packbits((np.bincount(at, minlength=n * width) & 1).astype(np.uint8)).view(np.int64).reshape(n, width // 64)
 
 
+def _most_mapped(t: Fraction) -> int:
+    """The largest set whose bitmap of 256 bits tells anything: in larger ones more may differ than the 128 that do by chance (160 at most)."""
+    return 80 * (t.numerator + t.denominator) // (t.denominator - t.numerator) if t < 1 else 1 << 30
+
+
 def _map_width(n: int) -> int:
     """Bits of the wide bitmap of a set of ``n`` shingles: at least three for each."""
     return max(1024, 1 << (3 * n - 1).bit_length())
@@ -351,7 +360,7 @@ def _near_in_lists(h: np.ndarray, key: np.ndarray, place: np.ndarray, maps: np.n
         both = size[a] + size[b]
         keep = np.flatnonzero(keep & ((num + den) * np.minimum(rest[a], rest[b]) >= num * both))
         a, b, both = a[keep], b[keep], both[keep]
-        keep = (num + den) * (both - np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)) >= 2 * num * both
+        keep = (np.maximum(size[a], size[b]) > _most_mapped(t)) | ((num + den) * (both - np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)) >= 2 * num * both)
         a, b = key[a[keep]], key[b[keep]]
         if len(a):
             yield np.minimum(a, b), np.maximum(a, b)
@@ -455,7 +464,7 @@ def near_duplicates(
     # so many postings that a partition of them stays small, whatever the session's number of partitions
     n = F.expr("octet_length(words) div 4")
     lengths = texts.groupBy(F.least(n, F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("texts"), F.sum(n).alias("words")).collect()
-    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(r.words for r in lengths) // 600_000)
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (words := sum(r.words for r in lengths)) // 600_000)
     counted = _merge_counters(table.filter("block is not null").select("block", "task", "data"), bits)
     if boundary is None:
         boundary = bounded_by_pairs(choose_boundary(expected_list(counted, t), t), {r.n - width + 1: r.texts for r in lengths}, t)
@@ -484,13 +493,18 @@ def near_duplicates(
     if boundary > lone:
         again = context.broadcast(_merge_twice(texts.mapInArrow(_emitter(count_pairs), _BLOCKS)))
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batches: Iterator[pa.RecordBatch], no: int, passes: int) -> Iterator[pa.RecordBatch]:
+        """Postings of the lists of one pass."""
         names = ["h", "key", "place", "b1", "b2", "b3", "b4"]
         for keys, parts, words in _texts(batches):
             text, h, code, size, place, p, light, at = prefixes(keys, parts, words)
             marks, maps = np.array(keys, np.int64), _bitmaps(text, h, len(keys))
+            maps[size > _most_mapped(t)] = 0  # so that they take no room
 
             def rows(who: np.ndarray, hash_: np.ndarray, at_: np.ndarray, kind: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+                if passes > 1:
+                    mine = (hash_ >> np.uint64(8)) % np.uint64(passes) == no
+                    who, hash_, at_, kind, length = who[mine], hash_[mine], at_[mine], kind[mine], length[mine]
                 # size, then position, then kind (0 light, 1 heavy, 2 pair of a light set) in one number
                 packed = (np.minimum(size[who], 1 << 30).astype(np.int64) << np.int64(32)) | (np.minimum(at_, (1 << 28) - 1).astype(np.int64) << np.int64(2)) | kind.astype(np.int64)
                 row, hash_ = _gridded(hash_, np.exp2(length / 8.0), marks[who].view(np.uint64))
@@ -506,7 +520,13 @@ def near_duplicates(
                 first, second, both = first[met], second[met], both[met]
                 yield from rows(text[first], both, place[first], np.full(len(first), 2), np.minimum(code[first], code[second]))
 
-    pairs = _candidate_pairs(texts.mapInArrow(lists, "h long, key long, place long, b1 long, b2 long, b3 long, b4 long"), t, partitions)
+    passes = 1 if words <= PASS_WORDS else 2
+    found = []
+    for no in range(passes):
+        found.append(_candidate_pairs(texts.mapInArrow(functools.partial(lists, no=no, passes=passes), "h long, key long, place long, b1 long, b2 long, b3 long, b4 long"), t, partitions))
+        release_shuffles(df.sparkSession)
+    pairs = found[0] if passes == 1 else cut_lineage(functools.reduce(DataFrame.union, found).distinct())
+    del found
     release_shuffles(df.sparkSession)
 
     def mark_keys(batches: Iterator[pa.RecordBatch]) -> _Counter:
@@ -537,7 +557,6 @@ def near_duplicates(
     full = cut_lineage(texts.mapInArrow(sets, "key long, n int, map binary, s binary").repartition(partitions, "key").dropDuplicates(["key"]))
     release_shuffles(df.sparkSession)
     maps = lambda x: full.select(F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"m_{x}"))
-    mapped = pairs.join(maps("a"), "key_a").join(maps("b"), "key_b").select("key_a", "key_b", "n_a", "n_b", "m_a", "m_b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The same bound as by the bitmaps in the lists, on wider ones: shared <= (n_a + n_b - distance) / 2."""
@@ -547,9 +566,14 @@ def near_duplicates(
             keep = pa.array((t.numerator + t.denominator) * (n - apart) >= 2 * t.numerator * n)
             yield pa.RecordBatch.from_arrays([batch.column("key_a").filter(keep), batch.column("key_b").filter(keep)], names=["key_a", "key_b"])
 
-    pairs = cut_lineage(mapped.mapInArrow(near, "key_a long, key_b long"))
-    del mapped
-    release_shuffles(df.sparkSession)
+    passes, found = min(MOST_PASSES, pairs.count() // PASS_PAIRS + 1), []
+    for no in range(passes):
+        some = pairs.filter(F.pmod(F.hash("key_a", "key_b"), F.lit(passes)) == no) if passes > 1 else pairs
+        mapped = some.join(maps("a"), "key_a").join(maps("b"), "key_b").select("key_a", "key_b", "n_a", "n_b", "m_a", "m_b")
+        found.append(cut_lineage(mapped.mapInArrow(near, "key_a long, key_b long")))
+        del some, mapped
+        release_shuffles(df.sparkSession)
+    pairs = functools.reduce(DataFrame.union, found)
     both = pairs.join(full.select(F.col("key").alias("key_a"), F.col("s").alias("s_a")), "key_a").join(full.select(F.col("key").alias("key_b"), F.col("s").alias("s_b")), "key_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

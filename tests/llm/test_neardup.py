@@ -129,3 +129,17 @@ def test_a_text_that_many_tasks_read_is_listed_once(spark, monkeypatch):
         members, links = neardup.near_duplicates(df, "id", "text", None, "0.6", 3, 30, boundary=0, bits=14)
         assert members.count() == copies * len(texts) and links.count() == 17
     assert listed[0] == listed[1] > 0
+
+
+def test_several_passes_like_one(spark, monkeypatch):
+    from brindle.llm import neardup
+
+    monkeypatch.setattr(neardup, "PASS_WORDS", 1000)
+    monkeypatch.setattr(neardup, "PASS_PAIRS", 250)
+    r, rows = random.Random(3), corpus()
+    base = [f"v{r.randrange(3000)}" for _ in range(500)]
+    rows += [(1, f"wide{n}", " ".join([*base[: 500 - n], *(f"x{n}q{k}" for k in range(n))])) for n in (0, 40, 120, 200)]
+    df = spark.createDataFrame(rows, "part int, id string, text string")
+    members, links = near_duplicates(df, "id", "text", "part", "0.6", 3, 30, boundary=40, bits=14)
+    found = [(r.id_a, r.id_b) for r in duplicate_pairs(members, links).collect()]
+    assert len(found) == len(set(found)) and set(found) == plain(rows, "0.6", 3, 30) and ("wide0", "wide120") in found
