@@ -12,7 +12,7 @@ join complete, a good one keeps it cheap). Two sets of similarity ``t`` then sha
   light sets alike. So do sets so small that one shared shingle is enough.
 
 The boundary between them is where both cost the same, by the counts of the collection: a pair costs little more than
-a candidate, so light sets pay where lists are long, and the boundary grows with the collection. Lists are joined with
+a candidate, so light sets pay where lists are long, and the boundary grows with the collection until their pairs fill half of the table. Lists are joined with
 exact filters on size, position and a parity bitmap (its distance never exceeds that of the sets), so that hardly a
 candidate is left that isn't a result, and every candidate is then checked on the full sets. Texts with equal words
 are one class throughout; classes are linked, members never expanded. A list of more than ``GRID`` is joined as a grid
